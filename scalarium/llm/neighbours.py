@@ -44,7 +44,7 @@ class Index:
         n = len(self.vectors)
         size = math.sqrt(float((query * query).sum()))
         on = np.append(query / size, 0.0) @ self.lines
-        wanted = min(n, max(4 * least, int(ENOUGH * n)))
+        wanted = min(n, max(16 * least, int(ENOUGH * n)))
         need = math.ceil(COLLISIONS * LINES)
         count = np.zeros(n, np.int64)
         low = [int(s.searchsorted(h)) for s, h in zip(self.sorted, on, strict=True)]

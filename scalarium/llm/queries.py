@@ -80,7 +80,7 @@ kept as (
 select docs.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
   sha256(coalesce(text, '')) as kept_sha256
 from docs left join kept on docs.doc_id = kept.doc_id
-""".replace("\\", "\"),
+""",
     "op8_url_filters": r"""
 with parts as (
   select page_id,

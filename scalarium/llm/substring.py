@@ -212,6 +212,30 @@ def repeated_spans(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     return counted.select("chunk", "kind", "hashes", "places").groupBy("chunk").applyInArrow(_merged(width), "doc_id long, crc long, size int, spans binary")
 
 
+def _with_spans(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """All columns of docs and `_spans`, null where nothing is repeated."""
+    spans = repeated_spans(docs, width, id_col, text_col).dropDuplicates(["doc_id", "crc", "size"]).toDF("_id", "_crc", "_size", "_spans")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.crc32(text.cast("binary")) == F.col("_crc")) & (F.octet_length(text) == F.col("_size"))
+    return docs.join(spans, same, "left").drop("_id", "_crc", "_size")
+
+
+def _cut(off: np.ndarray, buf: np.ndarray, spans: list[bytes | None]) -> Iterator[tuple[int, int, bytes]]:
+    """Of each text its words, how many go, and the kept ones joined by a space."""
+    for i, j in slices(off):
+        part = buf[off[i] : off[j]]
+        data = part.tobytes()
+        starts, ends, counts = word_bounds(part, off[i : j + 1] - off[i])
+        first = np.cumsum(counts) - counts
+        for d in range(j - i):
+            n, f = int(counts[d]), int(first[d])
+            keep = np.ones(n, bool)
+            for a, b in np.frombuffer(spans[i + d], "<i8").reshape(-1, 2).tolist() if spans[i + d] else ():
+                keep[a:b] = False
+            which = f + np.flatnonzero(keep)
+            yield n, n - len(which), b" ".join([data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+
+
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's text without the words of repeated windows: doc_id, n_words, n_removed, kept (words joined by a space).
 
@@ -220,31 +244,40 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     words.  Other columns of docs are left out.  Hashes of 64 bits decide.
     """
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    spans = repeated_spans(docs, width, id_col, text_col).dropDuplicates(["doc_id", "crc", "size"]).withColumnRenamed("doc_id", "of_id")
-    keyed = plain.withColumns({"own_crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "own_size": F.octet_length(F.coalesce(F.col("text"), F.lit("")))})
-    joined = keyed.join(spans, keyed.doc_id.eqNullSafe(spans.of_id) & (keyed.own_crc == spans.crc) & (keyed.own_size == spans.size), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, buf = raw_text(batch.column(1))
-            spans = batch.column(2).to_pylist()
-            for i, j in slices(off):
-                part = buf[off[i] : off[j]]
-                data = part.tobytes()
-                starts, ends, counts = word_bounds(part, off[i : j + 1] - off[i])
-                first = np.cumsum(counts) - counts
-                removed, kept = [], []
-                for d in range(j - i):
-                    n, f = int(counts[d]), int(first[d])
-                    keep = np.ones(n, bool)
-                    for a, b in np.frombuffer(spans[i + d], "<i8").reshape(-1, 2).tolist() if spans[i + d] else ():
-                        keep[a:b] = False
-                    which = f + np.flatnonzero(keep)
-                    removed.append(n - len(which))
-                    kept.append(b" ".join([data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.select(keyed.doc_id, keyed.text, spans.spans).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+            rows = list(_cut(*raw_text(batch.column(1)), batch.column(2).to_pylist()))
+            words, gone, kept = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return _with_spans(plain, width, "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def without_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with texts cut as in remove_repeats() and, if there is such a column, their sizes in characters.
+
+    A text of which nothing goes stays as it is, to the byte; one of which all goes becomes empty, and null stays null.
+    """
+    names = docs.columns
+    joined = _with_spans(docs, width, id_col, text_col)
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(len(names)).to_pylist()
+            hit = np.array([d for d, x in enumerate(spans) if x], np.int64)
+            columns = [batch.column(i) for i in range(len(names))]
+            if len(hit):
+                cut = iter(_cut(*raw_text(columns[at].take(pa.array(hit))), [spans[d] for d in hit]))
+                where = set(hit.tolist())
+                columns[at] = pa.array([next(cut)[2].decode("utf-8", "replace") if d in where else x for d, x in enumerate(columns[at].to_pylist())], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    if size_col in names:
+        out = out.withColumn(size_col, F.when(F.col(text_col).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType)).select(*names)
+    return out
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
 #: Labelled rows that the classifier is fitted on: all, or about so many drawn by a hash of the id.
 SAMPLE_ROWS = 40_000
-#: Features that get a weight, and how many documents must have one.
-KEPT_FEATURES, LEAST_DOCUMENTS = 8192, 5
+#: Features that get a weight at most, how many documents must have one, and the log-likelihood it must add.
+KEPT_FEATURES, LEAST_DOCUMENTS, LEAST_GAIN = 8192, 5, 8.0
 THRESHOLD = 0.7
 
 
@@ -31,14 +31,14 @@ def features(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None)
     """Pairs of document and feature, each once, in order; only those that `wanted` marks if given."""
     sizes = np.diff(off)
     symbols = np.zeros(len(buf) + len(sizes) + 1, np.int64)
-    of = np.repeat(np.arange(len(sizes)), sizes + 1)
+    of = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), len(sizes))
     symbols[np.arange(len(buf)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)] = FOLD[buf]
     # runs of parting symbols count as one
     keep = np.ones(len(symbols), bool)
     keep[1:] = (symbols[1:] > 0) | (symbols[:-1] > 0)
-    keep[:-1][of[1:] != of[:-1]] = True
+    keep[1:] |= of[1:] != of[:-1]
     symbols = symbols[keep]
-    of = np.append(of, len(sizes))[keep]
+    of = of[keep]
     found = []
     code = symbols
     for order in range(2, max(ORDERS) + 1):
@@ -84,7 +84,7 @@ def informative(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int
     gain = entropy(toxic + other, n_toxic + n_other) - entropy(toxic, n_toxic) - entropy(other, n_other)
     gain[toxic + other < LEAST_DOCUMENTS] = -1
     best = np.argsort(-gain, kind="stable")[:KEPT_FEATURES]
-    return best[gain[best] > 0]
+    return best[gain[best] > LEAST_GAIN]
 
 
 def logistic(doc: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.ndarray, columns: int, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
