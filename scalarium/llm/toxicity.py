@@ -1,8 +1,9 @@
 """Toxicity by a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams (3 to 6 folded bytes, words parted by one symbol) that a document has, hashed.  Each
-is scaled by the logarithm of how much more often toxic documents have it than others; a logistic regression
-on the scaled features gives the weights.  Only the features that tell the classes apart best get one.
+Features are the n-grams (5 to 8 folded bytes, words parted by one symbol) that a document has at least once,
+twice, four times or eight times, hashed.  Each is scaled by the logarithm of how much more often toxic documents
+have it than others; a logistic regression on the scaled features gives the weights.  Only the features that tell
+the classes apart best get one.
 """
 
 from __future__ import annotations
@@ -17,18 +18,31 @@ from pyspark.sql import functions as F
 from scalarium.llm.language import FOLD, SYMBOL_BITS, held_out
 from scalarium.llm.text import raw_text, slices
 
-ORDERS = (3, 4, 5, 6)
+ORDERS = (5, 6, 7, 8)
+#: How often a document has an n-gram: each level that it reaches is a feature.
+COUNTS = (1, 2, 4, 8)
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
 #: Labelled rows that the classifier is fitted on: all, or about so many drawn by a hash of the id.
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 24_000
 #: Features that get a weight at most, how many documents must have one, and the log-likelihood it must add.
 KEPT_FEATURES, LEAST_DOCUMENTS, LEAST_GAIN = 8192, 5, 8.0
 THRESHOLD = 0.7
 
 
-def features(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of document and feature, each once, in order; only those that `wanted` marks if given."""
+_LEVELS = [(k + 1) * 0x9E377 & (FEATURES - 1) for k in range(len(COUNTS))]
+
+
+def with_levels(wanted: np.ndarray) -> np.ndarray:
+    """Marks the n-grams of which some level is marked."""
+    out = np.zeros(FEATURES, bool)
+    for level in _LEVELS:
+        out |= wanted[np.arange(FEATURES) ^ level]
+    return out
+
+
+def features(buf: np.ndarray, off: np.ndarray, grams: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of document and feature, each once and by document; of n-grams that `grams` marks, if given."""
     sizes = np.diff(off)
     symbols = np.zeros(len(buf) + len(sizes) + 1, np.int64)
     of = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), len(sizes))
@@ -37,8 +51,7 @@ def features(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None)
     keep = np.ones(len(symbols), bool)
     keep[1:] = (symbols[1:] > 0) | (symbols[:-1] > 0)
     keep[1:] |= of[1:] != of[:-1]
-    symbols = symbols[keep]
-    of = of[keep]
+    symbols, of = symbols[keep], of[keep]
     found = []
     code = symbols
     for order in range(2, max(ORDERS) + 1):
@@ -47,12 +60,13 @@ def features(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None)
         code = (code[:-1] << SYMBOL_BITS) | symbols[order - 1 :]
         if order in ORDERS:
             hashed = ((code + order).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)
-            at = np.arange(len(code)) if wanted is None else np.flatnonzero(wanted[hashed])
+            at = np.arange(len(code)) if grams is None else np.flatnonzero(grams[hashed])
             doc = of[at]
-            within = of[np.minimum(at + order - 2, len(of) - 1)] == doc  # the last symbol may be the one that parts documents
+            within = of[at + order - 2] == doc  # the last symbol may be the one that parts documents
             found.append((doc[within] << FEATURE_BITS) | hashed[at[within]].astype(np.int64))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    pairs = pairs[pairs < len(sizes) << FEATURE_BITS]
+    pairs, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+    levels = [pairs[count >= least] ^ level for least, level in zip(COUNTS, _LEVELS, strict=True)]
+    pairs = np.unique(np.concatenate(levels))
     return pairs >> FEATURE_BITS, pairs & (FEATURES - 1)
 
 
@@ -61,9 +75,10 @@ class Model:
 
     def __init__(self, weights: np.ndarray, constant: float):
         self.weights, self.constant = weights, constant
+        self.grams = with_levels(weights != 0)
 
     def scores(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        doc, feature = features(buf, off, self.weights != 0)
+        doc, feature = features(buf, off, self.grams)
         z = self.constant + np.bincount(doc, self.weights[feature], len(off) - 1)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -149,12 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scale = ratios(toxic, other)[best]
     wanted = np.zeros(FEATURES, bool)
     wanted[best] = True
+    grams = with_levels(wanted)
 
     def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, buf = raw_text(batch.column(1))
             for i, j in slices(off):
-                doc, feature = features(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
+                doc, feature = features(buf[off[i] : off[j]], off[i : j + 1] - off[i], grams)
+                doc, feature = doc[wanted[feature]], feature[wanted[feature]]
                 edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 column = np.searchsorted(best, feature).astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([column[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["label", "columns"])
