@@ -10,7 +10,8 @@ matter are made: about m (ln m + 3) per document of whatever length.
 
 Texts that are equal stand as one.  Documents of a bucket (a band of registers) are compared with the bucket's
 first one; if that leaves a bucket in more than one class, those outside the first one's class are compared with
-all others by signature, in cells of bounded size.  What looks alike is verified on the texts.
+all others by signature, in cells of bounded size.  What looks alike is verified on the texts: first the likest
+pairs of each document, which joins what belongs together, and at last all that are still of different classes.
 """
 
 from __future__ import annotations
@@ -180,20 +181,44 @@ def _promising(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _cell(group: pa.Table) -> pa.Table:
-    """Pairs of a searching document and another of the cell that look alike and are of different classes."""
-    first, component, search = (group[c].to_numpy() for c in ("first", "component", "search"))
-    off, buf = raw_text(group["registers"])
-    registers = buf[off[0] : off[-1]].reshape(-1, REGISTERS)
-    queries, rows = np.flatnonzero(search), np.flatnonzero(~search)
-    found = []
-    for q in queries:
-        hit = rows[(registers[rows] == registers[q]).sum(axis=1) >= PROMISING]
-        hit = hit[component[hit] != component[q]]
-        if len(hit):
-            found.append(np.stack([np.maximum(first[hit], first[q]), np.minimum(first[hit], first[q])], 1))
-    pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def _cell(most: int | None):
+    """Pairs of a searching document and others of the cell that look alike and are of different classes, the likest first."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        first, component, search = (group[c].to_numpy() for c in ("first", "component", "search"))
+        off, buf = raw_text(group["registers"])
+        registers = buf[off[0] : off[-1]].reshape(-1, REGISTERS)
+        queries, rows = np.flatnonzero(search), np.flatnonzero(~search)
+        found = []
+        for q in queries:
+            equal = (registers[rows] == registers[q]).sum(axis=1)
+            hit = np.flatnonzero((equal >= PROMISING) & (component[rows] != component[q]))
+            hit = rows[hit[np.argsort(-equal[hit], kind="stable")[:most]]]
+            if len(hit):
+                found.append(np.stack([np.maximum(first[hit], first[q]), np.minimum(first[hit], first[q])], 1))
+        pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def _unsettled(shared: DataFrame, firsts: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of buckets that are in several classes, with their class, and that of the bucket's leader."""
+    placed = shared.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
+    rest = placed.join(split, "bucket")
+    leading = rest.filter("first = leader").select("bucket", F.col("component").alias("leading"))
+    rest = rest.join(leading, "bucket").join(firsts.select("first", "registers"), "first")
+    return rest.withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
+
+
+def _alike(rest: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) across classes of those that aren't in the leader's class and others of their bucket: for each the
+    likest few of each cell, or all.  A cell has a bounded part of the bucket, and whoever searches it."""
+    rows = rest.withColumns({"cell": F.pmod(F.xxhash64("first"), F.col("cells")).cast("int"), "search": F.lit(False)})
+    seeks = rest.filter("component <> leading").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "search": F.lit(True)})
+    cells = rows.unionByName(seeks).select("bucket", "cell", "first", "component", "search", "registers")
+    return cells.groupBy("bucket", "cell").applyInArrow(_cell(most), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,19 +241,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     texts = stored(plain.join(shared.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     links = stored(verified(_promising(pairs, firsts), texts, similar).dropDuplicates(["a", "b"]), "links")
     linked = components(links)
-    # buckets that are still in several classes
-    placed = shared.join(linked.withColumnRenamed("id", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
-    rest = stored(placed.join(split, "bucket").join(firsts.select("first", "registers"), "first"), "unsettled")
-    leading = rest.filter("first = leader").select("bucket", F.col("component").alias("leading"))
-    rest = rest.join(leading, "bucket").withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
-    rows = rest.withColumns({"cell": F.pmod(F.xxhash64("first"), F.col("cells")).cast("int"), "search": F.lit(False)})
-    seeks = rest.filter("component <> leading").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "search": F.lit(True)})
-    cells = rows.unionByName(seeks).select("bucket", "cell", "first", "component", "search", "registers")
-    more = cells.groupBy("bucket", "cell").applyInArrow(lambda key, group: _cell(group), "a long, b long").distinct()
-    more = stored(verified(more, texts, similar), "links")
-    all_links = links.unionByName(more).dropDuplicates(["a", "b"])
-    final = components(all_links)
+    # in buckets that are still in several classes, look for links between these: likely ones first, at last all
+    for most in (2, 20, None):
+        rest = stored(_unsettled(shared, firsts, linked), "unsettled")
+        if rest.isEmpty():
+            break
+        links = stored(links.unionByName(verified(_alike(rest, most), texts, similar)).dropDuplicates(["a", "b"]), "links")
+        linked = components(links)
+    all_links, final = links, linked
     degree = all_links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     classes = firsts.select("digest", "first").join(final.withColumnRenamed("id", "first"), "first", "left").join(degree, "first", "left")
     classes = classes.select("digest", F.coalesce("component", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
