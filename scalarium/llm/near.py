@@ -237,8 +237,9 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     buckets = member.groupBy("bucket").agg(F.min("first").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stored(member.join(buckets, "bucket"), "buckets")
     pairs = shared.filter("first <> leader").select(F.col("first").alias("a"), F.col("leader").alias("b")).distinct()
-    # texts that share a bucket are looked up once for all that follows
-    texts = stored(plain.join(shared.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    # texts that share a bucket are looked up once for all that follows; both sides grow with the input, so neither is broadcast
+    wanted = shared.select(F.col("first").alias("doc_id")).distinct().hint("merge")
+    texts = stored(plain.join(wanted, "doc_id", "left_semi"), "texts")
     links = stored(verified(_promising(pairs, firsts), texts, similar).dropDuplicates(["a", "b"]), "links")
     linked = components(links)
     # in buckets that are still in several classes, look for links between these: likely ones first, at last all
