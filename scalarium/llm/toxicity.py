@@ -28,6 +28,8 @@ SAMPLE_ROWS = 24_000
 #: Features that get a weight at most, how many documents must have one, and the log-likelihood it must add.
 KEPT_FEATURES, LEAST_DOCUMENTS, LEAST_GAIN = 8192, 5, 8.0
 THRESHOLD = 0.7
+#: Bytes of text taken at a time, where all n-grams are kept and where few are.
+COUNTED_BYTES, SCORED_BYTES = 1 << 18, 1 << 19
 
 
 _LEVELS = [(k + 1) * 0x9E377 & (FEATURES - 1) for k in range(len(COUNTS))]
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             label = (batch.column(0).to_numpy() > 0).astype(np.int64)
             n += np.bincount(label, minlength=2)
             off, buf = raw_text(batch.column(1))
-            for i, j in slices(off):
+            for i, j in slices(off, COUNTED_BYTES):
                 doc, feature = features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 for k in (0, 1):
                     have[k] += np.bincount(feature[label[i:j][doc] == k], minlength=FEATURES)
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, buf = raw_text(batch.column(1))
-            for i, j in slices(off):
+            for i, j in slices(off, COUNTED_BYTES):
                 doc, feature = features(buf[off[i] : off[j]], off[i : j + 1] - off[i], grams)
                 doc, feature = doc[wanted[feature]], feature[wanted[feature]]
                 edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
@@ -201,7 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         own = Model(weights, told[2])
         for batch in batches:
             off, buf = raw_text(batch.column(1))
-            for i, j in slices(off):
+            for i, j in slices(off, SCORED_BYTES):
                 p = own.scores(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
