@@ -1,5 +1,5 @@
 """Registered queries of the library, and the SQL that says the same."""
 
-from scalarium.plans.queries import ORACLE_SQL, QUERIES
+from scalarium.plans.structure_queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
