@@ -21,7 +21,7 @@ LINES, SEED = 112, 20240229
 #: Vectors and queries of a cell of the grid.
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 1_024
 #: Half the first window's width in standard deviations of a line, and how each step widens it.
-FIRST_WIDTH, WIDER, MOST_STEPS = 0.5, 1.08, 60
+FIRST_WIDTH, WIDER, MOST_STEPS = 0.65, 1.06, 60
 #: A candidate lies in this share of a query's windows; a search ends once this share of a block are candidates.
 COLLISIONS, ENOUGH = 0.5, 0.2
 
@@ -35,37 +35,44 @@ class Index:
         last = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))
         self.lines = np.random.default_rng(SEED).normal(size=(vectors.shape[1] + 1, LINES))
         on = np.column_stack([scaled, last]) @ self.lines
-        self.order = np.ascontiguousarray(np.argsort(on, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(on.T, self.order, 1))
+        order = np.argsort(on, axis=0, kind="stable").T
+        self.sorted = np.ascontiguousarray(np.take_along_axis(on.T, order, 1))
+        #: Each vector's place in each sorted array: it lies in a window if its place does.
+        self.places = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=np.uint16)[None], 1)
         self.spread = float(on.std(axis=0).mean()) or 1.0
 
-    def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Vectors that collide often enough with a query; at least so many unless the block has fewer."""
-        n = len(self.vectors)
-        size = math.sqrt(float((query * query).sum()))
-        on = np.append(query / size, 0.0) @ self.lines
+    def candidates(self, queries: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each query the vectors that collide often enough with it; at least so many unless the block has fewer.
+
+        All queries widen their windows by the same steps, so a line is searched once a step for all of them.
+        """
+        n, q = len(self.vectors), len(queries)
+        size = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
+        on = np.column_stack([queries / size, np.zeros(q)]) @ self.lines
         wanted = min(n, max(16 * least, int(ENOUGH * n)))
         need = math.ceil(COLLISIONS * LINES)
-        count = np.zeros(n, np.int64)
-        low = [int(s.searchsorted(h)) for s, h in zip(self.sorted, on, strict=True)]
-        high = list(low)
+        out: list[np.ndarray] = [np.arange(n)] * q
+        live = np.arange(q)
         half = FIRST_WIDTH * self.spread
+        ahead, inside = np.empty_like(self.places), np.empty(self.places.shape, bool)
         for _ in range(MOST_STEPS):
-            met = []
-            for i in range(LINES):
-                a, b = self.sorted[i].searchsorted((on[i] - half, on[i] + half))
-                met += (self.order[i, a : low[i]], self.order[i, high[i] : b])
-                low[i], high[i] = a, b
-            count += np.bincount(np.concatenate(met), minlength=n)
-            found = np.flatnonzero(count >= need)
-            if len(found) >= wanted:
-                return found
+            edges = [(line.searchsorted(on[live, i] - half), line.searchsorted(on[live, i] + half, "right")) for i, line in enumerate(self.sorted)]
+            left, right = (np.array(e).T[:, :, None] for e in zip(*edges, strict=True))
+            going = []
+            for k, j in enumerate(live.tolist()):
+                np.subtract(self.places, left[k].astype(np.uint16), out=ahead)  # places before the window wrap around
+                np.less(ahead, (right[k] - left[k]).astype(np.uint16), out=inside)
+                found = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
+                if len(found) >= wanted:
+                    out[j] = found
+                else:
+                    going.append(k)
+            live = live[going]
+            if not len(live):
+                break
             half *= WIDER
-        return np.arange(n)
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        found = self.candidates(query, k)
-        return found, (self.vectors[found] * query).sum(axis=1)
+        return out
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -105,8 +112,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         out = []
         if asks.any() and len(own):
             index = Index(flat[~asks][own], longest)
-            for query_id, query in zip(ids[asks].tolist(), flat[asks], strict=True):
-                found, score = index.search(query, k + 1)
+            asking = flat[asks]
+            for query_id, query, found in zip(ids[asks].tolist(), asking, index.candidates(asking, k + 1), strict=True):
+                score = (index.vectors[found] * query).sum(axis=1)
                 keep = own_ids[found] != query_id
                 found, score = found[keep], score[keep]
                 if len(found) > k:
