@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import stat
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,19 +67,39 @@ def discovered(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
     return spark.createDataFrame(sorted(found, key=lambda r: r[0].encode()), ENTRY)
 
 
-def contents(spark: SparkSession, root: str, entries: DataFrame, limit: int = FILE_LIMIT) -> DataFrame:
-    """path, size, content of candidates; files over the limit have no content.  The root must be one that executors see."""
-    base = "file:" + os.path.abspath(root)
-    paths = [f"{base}/{r.relative_path}" for r in entries.filter("state = 'candidate'").select("relative_path").toLocalIterator()]  # bounded by MOST_ENTRIES
-    if not paths:
-        return spark.createDataFrame([], "path string, size long, content binary")
-    read = spark.read.format("binaryFile").load([_literal(p) for p in paths])
-    return read.select(F.substr("path", F.lit(len(base) + 2)).alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= limit, F.col("content")).alias("content"))
+def _read(path: str, limit: int) -> tuple[int | None, bytes | None, str | None]:
+    """Size, bytes and what went wrong: links aren't followed, and a file that changes while it is read is refused."""
+    try:
+        handle = os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK | getattr(os, "O_CLOEXEC", 0))
+    except OSError:
+        return None, None, "file.unavailable"
+    with os.fdopen(handle, "rb") as f:
+        before = os.fstat(handle)
+        if not stat.S_ISREG(before.st_mode):
+            return None, None, "file.not_regular"
+        if before.st_size > limit:
+            return before.st_size, None, "file.too_large"
+        data = f.read(limit + 1)
+        after = os.fstat(handle)
+        if len(data) != before.st_size or (before.st_mtime_ns, before.st_size) != (after.st_mtime_ns, after.st_size):
+            return before.st_size, None, "file.changed_during_read"
+        return len(data), data, None
+
+
+def contents(entries: DataFrame, root: str, limit: int = FILE_LIMIT) -> DataFrame:
+    """path, size, content, code of candidates.  The root must be a folder that executors see.
+
+    Spark's own readers leave out names that begin with `_` or `.`, so files are opened by name.
+    """
+    base = os.path.abspath(root)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch.relative_path:  # a row at a time: a file may have megabytes
+                size, data, code = _read(f"{base}/{path}", limit)
+                yield pd.DataFrame({"path": [path], "size": pd.array([size], "Int64"), "content": [data], "code": [code]})
 
-def _literal(path: str) -> str:
-    """A path in which nothing is a glob."""
-    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+    return entries.filter("state = 'candidate'").select("relative_path").mapInPandas(run, "path string, size long, content binary, code string")
 
 
 def acquisition(entries: Column, allowance: int, per_file: int = FILE_LIMIT) -> Column:
