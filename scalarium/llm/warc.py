@@ -115,6 +115,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if not revisit and (payload_digest(payload), len(payload)) != (digest, size):
                         raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its header says")
                     rows.append((of(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], size, digest, of(headers.get("warc-refers-to")), None if revisit else payload))
+                if not rows:
+                    continue
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
