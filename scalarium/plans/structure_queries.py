@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scalarium.functions import identity, strings
-from scalarium.operators import detectors, evidence, packaging, profiles, reveal
+from scalarium.operators import assembly, detectors, diffs, evidence, packaging, profiles, reveal
+from scalarium.operators import findings as found_in
 from scalarium.plans import corpus, planted
 from scalarium.plans.queries import _FINDINGS_SQL, _KINDS_SQL, ORACLE_SQL, QUERIES, joined, query
-from scalarium.sources import decode, office, workspace
+from scalarium.sources import decode, office, sinks, workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -372,4 +373,49 @@ def run_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("length"), F.countDistinct("island").alias("runs"))
 
 
+# graph and diffs -------------------------------------------------------------------------------------------------
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Planted texts of which some failed, what was executed, and numbered findings."""
+    which = F.pmod("doc_id", F.lit(17))
+    code = F.when(which == 3, "text.decode_failed").when(which == 4, "file.too_large")
+    parsed = planted.texts(spark, sf_dir).select("doc_id", "text", code.alias("failure_code"))
+    found = found_in.ordered_ranks(detectors.unicode_kinds(parsed.filter("failure_code is null")))
+    return parsed, assembly.executions(parsed), found
+
+
+@query(
+    "with c(k, capability, stage) as (values " + ", ".join(f"({k}, '{c}', '{s}')" for k, (c, s, *_) in enumerate(assembly.CAPABILITIES)) + ") "
+    "select doc_id as source_id, 'exec/' || k as ref, case when k >= 8 then 'disabled' when doc_id % 17 = 3 and k = 1 then 'failed' when doc_id % 17 = 4 and k = 0 then 'failed' when doc_id % 17 = 3 and k > 1 then 'not_run' when doc_id % 17 = 4 and k > 0 then 'not_run' else 'completed' end as state from documents cross join c"
+)
+def execution_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)[1].select("source_id", "ref", "state")
+
+
+@query(f"with {_FINDINGS_SQL} select d.doc_id as source_id, cast(count(f.id) as bigint) as findings from documents d left join found f on d.doc_id = f.doc_id where d.doc_id % 17 not in (3, 4) group by d.doc_id")
+def execution_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, run, found = _graph(spark, sf_dir)
+    return assembly.results(run, found).filter("capability = 'analyze.unicode'").select("source_id", "findings")
+
+
+@query("select cast(null as bigint) as source_id, cast(null as varchar) as problem where false")
+def graph_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed, run, found = _graph(spark, sf_dir)
+    return assembly.problems(run, assembly.artifacts(parsed), assembly.anchors(found), parsed.filter("failure_code is null"))
+
+
+@query()
+def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = planted.texts(spark, sf_dir)
+    return diffs.unified(texts.select("doc_id", F.col("text").alias("before"), strings.display_escaped(F.col("text")).alias("after")))
+
+
+@query("select o_custkey % 50 as fold_group, cast(count(*) as bigint) as n from orders group by o_custkey % 50 having count(*) > 1")
+def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Dir/É").otherwise("dir/É"), (F.col("o_custkey") % 50).cast("string"))
+    rows = sinks.colliding_paths(_table(spark, sf_dir, "orders").select(path.alias("path")))
+    return rows.select(F.regexp_extract("fold", r"(\d+)$", 1).cast("long").alias("fold_group"), "n")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -177,3 +177,49 @@ def test_corpus_and_stream(spark, tmp_path):
     assert (summary.state, summary.entries, summary.exit_code) == ("completed", 3, 2)
     lines = corpus.records(rows.drop("batch")).orderBy("part", "_key").collect()
     assert json.loads(lines[0].line)["type"] == "header" and json.loads(lines[-1].line)["type"] == "summary"
+
+
+def test_unified_diffs(spark):
+    import difflib
+
+    from scalarium.operators import diffs
+
+    lines = [f"line {k}" for k in range(20)]
+    other = [*lines]
+    other[3], other[4], other[15] = "x", "y", "z"
+    rows = [(1, "\n".join(lines) + "\n", "\n".join(other) + "\n"), (2, "same", "same"), (3, "a\nb\n", "a\nc"), (4, "a", "a\nb\n")]
+    got = {r.doc_id: r.diff for r in diffs.unified(spark.createDataFrame(rows, "doc_id long, before string, after string")).collect()}
+    want = "".join(difflib.unified_diff([x + "\n" for x in lines], [x + "\n" for x in other], "source", "revealed"))
+    assert got[1].replace("\t", "") == want.replace("\t", "") and got[2] == ""
+    assert got[3].endswith("-b\n+c\n\\ No newline at end of file\n")
+    assert got[4].startswith("--- source\n+++ revealed\n@@ -1,1 +1,2 @@\n-a\n\\ No newline at end of file\n+a\n+b\n")
+
+
+def test_evidence_graph_of_an_audit(spark):
+    from scalarium.operators import assembly, detectors
+    from scalarium.operators import findings as found_in
+
+    rows = [(1, "a​​ b​", None), (2, None, "text.decode_failed"), (3, None, "file.too_large")]
+    parsed = spark.createDataFrame(rows, "doc_id long, text string, failure_code string")
+    texts = parsed.filter("failure_code is null")
+    found = found_in.ordered_ranks(detectors.unicode_kinds(texts))
+    run, made, spans = assembly.executions(parsed), assembly.artifacts(parsed), assembly.anchors(found)
+    state = {(r.source_id, r.capability): r.state for r in run.collect()}
+    assert state[1, "analyze.unicode"] == "completed" and state[2, "parse.text"] == "failed" and state[2, "analyze.text"] == "not_run" and state[3, "acquire.file"] == "failed" and state[3, "parse.text"] == "not_run" and state[1, "verify.provenance"] == "disabled"
+    assert sorted((r.source_id, r.start, r.end) for r in spans.collect()) == [(1, 1, 3), (1, 5, 6)]
+    assert {r.capability: r.findings for r in assembly.results(run, found).collect()}["analyze.unicode"] == 1
+    assert assembly.problems(run, made, spans, texts).count() == 0
+    assert {r.source_id: r.status for r in evidence.status(run).collect()} == {1: "completed", 2: "failed", 3: "failed"}
+
+
+def test_registry(spark):
+    from scalarium.functions.registry import Registry, RegistryError
+
+    one = json.dumps({"id": "p", "version": "1", "scope": "main", "rules": [{"id": "r", "revision": 1, "kind": "k", "assessment": "expected", "facts": ["a"]}]})
+    registry = Registry()
+    assert registry.register(one) == registry.register(one)
+    for bad, why in [(one.replace("main", "x"), "changed"), (one.replace('"1"', '"2"').replace("expected", "unknown"), "conflict"), ("{}", "schema"), (one.replace("expected", "odd").replace('"1"', '"3"'), "schema")]:
+        with pytest.raises(RegistryError, match=why):
+            registry.register(bad)
+    scope, rules, facts = registry.tables(spark, "p", "1")
+    assert scope == "main" and rules.count() == 1 and facts.first().fact == "a"
