@@ -184,35 +184,55 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
+def _predicted(own: Model, column: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """Of each slice of a column of texts: first row, the one after its last, languages, scores, proportions."""
+    off, buf = raw_text(column)
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    for i, j in slices(off, 1 << 20):
+        part, edges = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        grams, starts, ends, words = trigrams(part, edges)
+        n = j - i
+        names, score, share = [UNDETERMINED] * n, np.zeros(n), np.zeros((n, len(own.languages)))
+        if own.languages and len(starts):
+            found, sure = proportions(own.word_scores(grams, starts, ends), words)
+            first = found.argmax(axis=1)
+            ascii_letters = np.concatenate([[0], np.cumsum((FOLD[part] > 0) & (part < 0x80))])
+            plain = np.diff(ascii_letters[edges]) > 0
+            data = part.tobytes()
+            for d in range(n):
+                if words[d] and not null[i + d] and (plain[d] or has_letter(data[edges[d] : edges[d + 1]])):
+                    names[d], score[d], share[d] = own.languages[first[d]], min(1.0, max(0.0, sure[d])), found[d]
+        yield i, j, names, score, share
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, proportions (JSON of the languages found, by share).
 
     One row per row.  lang_pred is `und` with a score of 0 if the text is null or has no letter, or if nothing was
     learned.  Other languages are told by name only if the model has learned them.  Other columns are left out.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, model.log_p))  # bounded by MOST_LANGUAGES, not by the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))  # bounded by MOST_LANGUAGES, not by the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            off, buf = raw_text(batch.column(1))
-            null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            for i, j in slices(off, 1 << 20):
-                part, edges = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                grams, starts, ends, words = trigrams(part, edges)
-                n = j - i
-                names, score, told = [UNDETERMINED] * n, np.zeros(n), ["{}"] * n
-                if own.languages and len(starts):
-                    share, sure = proportions(own.word_scores(grams, starts, ends), words)
-                    first = share.argmax(axis=1)
-                    ascii_letters = np.concatenate([[0], np.cumsum((FOLD[part] > 0) & (part < 0x80))])
-                    plain = np.diff(ascii_letters[edges]) > 0
-                    data = part.tobytes()
-                    for d in range(n):
-                        if words[d] and not null[i + d] and (plain[d] or has_letter(data[edges[d] : edges[d + 1]])):
-                            names[d], score[d] = own.languages[first[d]], min(1.0, max(0.0, sure[d]))
-                            told[d] = json.dumps({own.languages[k]: round(float(share[d, k]), 4) for k in np.argsort(-share[d], kind="stable") if share[d, k] > 0})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), pa.array(names, pa.string()), pa.array(score), pa.array(told, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "proportions"])
+            for i, j, names, score, share in _predicted(own, batch.column(1)):
+                told = [json.dumps({own.languages[k]: round(float(p[k]), 4) for k in np.argsort(-p, kind="stable") if p[k] > 0}) for p in share]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(names, pa.string()), pa.array(score), pa.array(told, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "proportions"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, proportions string")
+
+
+def known(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, whose language is predicted (not `und`) with at least that score.  Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for i, j, names, score, _ in _predicted(own, batch.column(at)):
+                good = np.array([x != UNDETERMINED for x in names]) & (score >= least_score)
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -213,11 +213,11 @@ def repeated_spans(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
 
 
 def _with_spans(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """All columns of docs and `_spans`, null where nothing is repeated."""
-    spans = repeated_spans(docs, width, id_col, text_col).dropDuplicates(["doc_id", "crc", "size"]).toDF("_id", "_crc", "_size", "_spans")
+    """All columns of docs and `__repeats_spans`, null where nothing is repeated."""
+    spans = repeated_spans(docs, width, id_col, text_col).dropDuplicates(["doc_id", "crc", "size"]).toDF("__repeats_id", "__repeats_crc", "__repeats_size", "__repeats_spans")
     text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.crc32(text.cast("binary")) == F.col("_crc")) & (F.octet_length(text) == F.col("_size"))
-    return docs.join(spans, same, "left").drop("_id", "_crc", "_size")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__repeats_id")) & (F.crc32(text.cast("binary")) == F.col("__repeats_crc")) & (F.octet_length(text) == F.col("__repeats_size"))
+    return docs.join(spans, same, "left").drop("__repeats_id", "__repeats_crc", "__repeats_size")
 
 
 def _cut(off: np.ndarray, buf: np.ndarray, spans: list[bytes | None]) -> Iterator[tuple[int, int, bytes]]:
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
             words, gone, kept = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return _with_spans(plain, width, "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return _with_spans(plain, width, "doc_id", "text").select("doc_id", "text", "__repeats_spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -274,7 +274,7 @@ def without_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
                 columns[at] = pa.array([next(cut)[2].decode("utf-8", "replace") if d in where else x for d, x in enumerate(columns[at].to_pylist())], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    out = joined.select(*names, "__repeats_spans").mapInArrow(run, docs.schema)
     if size_col in names:
         out = out.withColumn(size_col, F.when(F.col(text_col).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType)).select(*names)
     return out

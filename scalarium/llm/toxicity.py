@@ -8,7 +8,7 @@ the classes apart best get one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,22 +189,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(weights, constant)
 
 
+def _shared(model: Model) -> Callable[[], Model]:
+    """What tasks make the model from: the weights that aren't zero."""
+    at = np.flatnonzero(model.weights)
+    told = (at.astype(np.int32), model.weights[at], model.constant)
+
+    def make() -> Model:
+        weights = np.zeros(FEATURES)
+        weights[told[0]] = told[1]
+        return Model(weights, told[2])
+
+    return make
+
+
+def _scored(own: Model, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    off, buf = raw_text(column)
+    for i, j in slices(off, SCORED_BYTES):
+        yield i, j, own.scores(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if the score reaches the threshold).
 
     One row per row; a null or empty text has the score of no features.  Other columns are left out.
     """
-    at = np.flatnonzero(model.weights)
-    told = (at.astype(np.int32), model.weights[at], model.constant)
+    make = _shared(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(FEATURES)
-        weights[told[0]] = told[1]
-        own = Model(weights, told[2])
+        own = make()
         for batch in batches:
-            off, buf = raw_text(batch.column(1))
-            for i, j in slices(off, SCORED_BYTES):
-                p = own.scores(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            for i, j, p in _scored(own, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, with all their columns, whose score is under the threshold.  Nothing is shuffled."""
+    make = _shared(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make()
+        for batch in batches:
+            for i, j, p in _scored(own, batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
