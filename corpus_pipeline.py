@@ -20,27 +20,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SURE = 0.3
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents without those whose ids verdicts (a column gone_id) names; the few rejected ids travel, not the texts where Spark can help it."""
-    return docs.join(verdicts.select("gone_id").distinct(), docs["doc_id"] == F.col("gone_id"), "left_anti")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known: not `und`, and sure enough."""
-    judged = stored(language.predict(docs, language.train(docs)).select("doc_id", "lang_pred", "score"), "languages")
-    return _kept(docs, judged.filter((F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") < LEAST_SURE)).select(F.col("doc_id").alias("gone_id")))
+    return language.known(docs, language.train(docs), LEAST_SURE)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that aren't predicted to be toxic."""
-    judged = stored(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "predicted"), "toxicity")
-    return _kept(docs, judged.filter("predicted = 1").select(F.col("doc_id").alias("gone_id")))
+    return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, that of the least id; of repeated rows of that id all stay."""
-    judged = stored(near.near_duplicates(docs), "classes")
-    return _kept(docs, judged.filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")))
+    """Keeps one document of each class, that of the least id; of repeated rows of that id all stay, and rows without an id."""
+    gone = near.near_duplicates(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
