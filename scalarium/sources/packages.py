@@ -162,6 +162,63 @@ def read_xml(data: bytes) -> list[tuple]:
     return out
 
 
+#: The entities that XML itself names.
+ENTITIES = {b"amp": "&", b"lt": "<", b"gt": ">", b"quot": '"', b"apos": "'"}
+
+
+def scalar_map(data: bytes, start: int, value: str) -> list[tuple[str, int, int, str]]:
+    """Character, first byte, byte after, and how it was written, of each character of a text that begins at a byte.
+
+    literal, entity_reference, character_reference or line_ending (a CR or CRLF that became a line feed).  CDATA marks,
+    comments and instructions between are passed over.
+    """
+    out: list[tuple[str, int, int, str]] = []
+    at, plain = start, False
+    while len(out) < len(value):
+        if data.startswith(b"<![CDATA[", at) and not plain:
+            at, plain = at + 9, True
+        elif plain and data.startswith(b"]]>", at):
+            at, plain = at + 3, False
+        elif not plain and data[at : at + 1] == b"<":
+            close = b"-->" if data.startswith(b"<!--", at) else b"?>" if data.startswith(b"<?", at) else b">"
+            at = data.index(close, at) + len(close)
+        elif not plain and data[at : at + 1] == b"&":
+            end = data.index(b";", at) + 1
+            name = data[at + 1 : end - 1]
+            char = chr(int(name[2:], 16) if name[:2] == b"#x" else int(name[1:])) if name[:1] == b"#" else ENTITIES[name]
+            out.append((char, at, end, "character_reference" if name[:1] == b"#" else "entity_reference"))
+            at = end
+        elif data[at : at + 1] == b"\r":
+            end = at + 1 + (data[at + 1 : at + 2] == b"\n")
+            out.append(("\n", at, end, "line_ending"))
+            at = end
+        else:
+            lead = data[at]
+            end = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            out.append((data[at:end].decode(), at, end, "literal"))
+            at = end
+    if "".join(c for c, *_ in out) != value:
+        raise PackageError("xml.map_mismatch")
+    return out
+
+
+def scalar_maps(xml_parts: DataFrame) -> DataFrame:
+    """source_id, name, token, scalar, ch, start, end, how: where each character of the parts' texts was written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, name, data in zip(batch.source_id, batch.name, batch.content, strict=True):
+                data = bytes(data)
+                try:
+                    found = [(k, t) for k, t in enumerate(read_xml(data)) if t[0] == "text"]
+                except PackageError:
+                    continue  # tokens() has the row that says why
+                rows = [(source, name, k, i, *c) for k, t in found for i, c in enumerate(scalar_map(data, t[7], t[6]))]
+                yield pd.DataFrame(rows, columns=["source_id", "name", "token", "scalar", "ch", "start", "end", "how"])
+
+    return xml_parts.select("source_id", "name", "content").mapInPandas(run, "source_id long, name string, token int, scalar int, ch string, start long, end long, how string")
+
+
 def tokens(xml_parts: DataFrame) -> DataFrame:
     """Tokens of XML parts (source_id, name, content); one row with a code for a part that can't be read."""
 

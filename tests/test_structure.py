@@ -223,3 +223,12 @@ def test_registry(spark):
             registry.register(bad)
     scope, rules, facts = registry.tables(spark, "p", "1")
     assert scope == "main" and rules.count() == 1 and facts.first().fact == "a"
+
+
+def test_scalar_maps():
+    data = "<a>x&amp;é&#x41;\r\nz\r<!-- c --><![CDATA[<&]]>😀<b/>w</a>".encode()
+    found = [t for t in packages.read_xml(data) if t[0] == "text"]
+    rows = packages.scalar_map(data, found[0][7], found[0][6])
+    assert "".join(c for c, *_ in rows) == "x&éA\nz\n<&😀" == found[0][6]
+    assert [data[a:b] for _, a, b, _ in rows] == [b"x", b"&amp;", "é".encode(), b"&#x41;", b"\r\n", b"z", b"\r", b"<", b"&", "😀".encode()]
+    assert [how for *_, how in rows][1:7] == ["entity_reference", "literal", "character_reference", "line_ending", "literal", "line_ending"]
