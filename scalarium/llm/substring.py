@@ -98,10 +98,9 @@ class _Chunk:
         bucket = (((hashes >> U64(40)) * U64(buckets)) >> U64(24)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if edges[b] < edges[b + 1]:
-                which = order[edges[b] : edges[b + 1]]
-                out.append((b, number, _HASHES, packed_hashes(hashes[which]), packed_gaps(places[which])))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            which = order[edges[b] : edges[b + 1]]
+            out.append((b, number, _HASHES, packed_hashes(hashes[which]), packed_gaps(places[which])))
         return out
 
 
