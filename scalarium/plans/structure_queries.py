@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scalarium.functions import identity, strings
 from scalarium.operators import assembly, detectors, diffs, evidence, packaging, profiles, reveal
 from scalarium.operators import findings as found_in
-from scalarium.plans import corpus, planted
+from scalarium.plans import corpus, planted, reports
 from scalarium.plans.queries import _FINDINGS_SQL, _KINDS_SQL, ORACLE_SQL, QUERIES, joined, query
 from scalarium.sources import decode, office, sinks, workspace
 
@@ -418,4 +418,15 @@ def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.regexp_extract("fold", r"(\d+)$", 1).cast("long").alias("fold_group"), "n")
 
 
+@query()
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed, _, found = _graph(spark, sf_dir)
+    return reports.reports(parsed, found.drop("finding_ref")).select("doc_id", "exit_code", "sha256")
+
+
+@query(f"with {_STATES_SQL} select state, cast(exit_code as bigint) as exit_code, cast(count(*) as bigint) as documents from states group by state, exit_code")
+def corpus_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).groupBy("state", "exit_code").agg(F.count(F.lit(1)).alias("documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

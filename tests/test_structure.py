@@ -232,3 +232,16 @@ def test_scalar_maps():
     assert "".join(c for c, *_ in rows) == "x&éA\nz\n<&😀" == found[0][6]
     assert [data[a:b] for _, a, b, _ in rows] == [b"x", b"&amp;", "é".encode(), b"&#x41;", b"\r\n", b"z", b"\r", b"<", b"&", "😀".encode()]
     assert [how for *_, how in rows][1:7] == ["entity_reference", "literal", "character_reference", "line_ending", "literal", "line_ending"]
+
+
+def test_reports(spark):
+    from scalarium.operators import detectors
+    from scalarium.plans import reports
+    from scalarium.sources.imports import checked
+
+    parsed = spark.createDataFrame([(1, "é​\x07", None), (2, "x", None), (3, None, "file.too_large")], "doc_id long, text string, failure_code string")
+    found = detectors.all_findings(parsed.filter("failure_code is null"))
+    got = {r.doc_id: (r.exit_code, json.loads(r.report), r.sha256, r.report) for r in reports.reports(parsed, found).collect()}
+    assert [f["id"] for f in got[1][1]["findings"]] == ["unicode.control", "unicode.zero_width"] and got[1][0] == 2 and got[2][1]["findings"] == [] and got[3][1]["status"] == "failed"
+    assert all(r[3].isascii() and checked(r[3]) == ("1.0", None, len(r[1]["findings"])) for r in got.values())
+    assert identity.canonical(got[2][3]) == identity.canonical(json.dumps(got[2][1]))
