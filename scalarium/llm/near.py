@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     links = stored(verified(_promising(pairs, firsts), texts, similar).dropDuplicates(["a", "b"]), "links")
     linked = components(links)
     # in buckets that are still in several classes, look for links between these: likely ones first, at last all
-    for most in (2, 20, None):
+    for most in (4, None):
         rest = stored(_unsettled(shared, firsts, linked), "unsettled")
         if rest.isEmpty():
             break
