@@ -221,6 +221,72 @@ def _alike(rest: DataFrame, most: int | None) -> DataFrame:
     return cells.groupBy("bucket", "cell").applyInArrow(_cell(most), "a long, b long").distinct()
 
 
+def _bags(text: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, sorted, and how often it has them."""
+    off, buf = raw_text(text)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in slices(off):
+        doc, shingle = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        edges = np.searchsorted(doc, np.arange(j - i + 1))
+        out += [np.unique(shingle[a:b], return_counts=True) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return out
+
+
+def _bag_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = a[0][at] == b[0]
+    shared = int(np.minimum(a[1][at[both]], b[1][both]).sum())
+    return shared / (int(a[1].sum()) + int(b[1].sum()) - shared)
+
+
+def _linking_cell(similar: float):
+    """Links (a, b, similarity) that join classes of a cell: pairs that look alike, verified where they meet.
+
+    A pair is verified in the first bucket that it shares, and only while its classes are still apart, so what comes
+    out is at most as much as the cell has classes.
+    """
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        first, component, search, leading = (group[c].to_numpy() for c in ("first", "component", "search", "leading"))
+        off, buf = raw_text(group["registers"])
+        registers = buf[off[0] : off[-1]].reshape(-1, REGISTERS)
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bags = _bags(group["text"])
+        queries, rows = np.flatnonzero(search), np.flatnonzero(~search)
+        seeks = component[rows] != leading[rows]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for q in queries.tolist():
+            equal = (registers[rows] == registers[q]).sum(axis=1)
+            same = bands[rows] == bands[q]
+            own = bands[q][same.argmax(axis=1)] == key[0].as_py()
+            hit = np.flatnonzero((equal >= PROMISING) & own & (component[rows] != component[q]) & ~(seeks & (first[rows] > first[q])))
+            for h in rows[hit[np.argsort(-equal[hit], kind="stable")]].tolist():
+                x, y = root(int(component[q])), root(int(component[h]))
+                if x != y and (score := _bag_similarity(bags[q], bags[h])) >= similar - 1e-12:
+                    out.append((max(first[q], first[h]), min(first[q], first[h]), score))
+                    parent[max(x, y)] = min(x, y)
+        a, b, score = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(score, pa.float64())})
+
+    return run
+
+
+def _last_links(rest: DataFrame, firsts: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """All links that are left between classes of a bucket: texts go to the cells, pairs never leave them."""
+    told = rest.join(firsts.select("first", "bands"), "first").join(texts.select(F.col("doc_id").alias("first"), "text"), "first")
+    rows = told.withColumns({"cell": F.pmod(F.xxhash64("first"), F.col("cells")).cast("int"), "search": F.lit(False)})
+    seeks = told.filter("component <> leading").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "search": F.lit(True)})
+    cells = rows.unionByName(seeks).select("bucket", "cell", "first", "component", "leading", "search", "registers", "bands", "text")
+    return cells.groupBy("bucket", "cell").applyInArrow(_linking_cell(similar), "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of each document: doc_id, class_id (the least doc_id of its class), n_links.
 
@@ -242,12 +308,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     texts = stored(plain.join(wanted, "doc_id", "left_semi"), "texts")
     links = stored(verified(_promising(pairs, firsts), texts, similar).dropDuplicates(["a", "b"]), "links")
     linked = components(links)
-    # in buckets that are still in several classes, look for links between these: likely ones first, at last all
+    # in buckets that are still in several classes, look for links between these: likely ones first, then all
     for most in (4, None):
         rest = stored(_unsettled(shared, firsts, linked), "unsettled")
         if rest.isEmpty():
             break
-        links = stored(links.unionByName(verified(_alike(rest, most), texts, similar)).dropDuplicates(["a", "b"]), "links")
+        more = verified(_alike(rest, most), texts, similar) if most else _last_links(rest, firsts, texts, similar)
+        links = stored(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
         linked = components(links)
     all_links, final = links, linked
     degree = all_links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
