@@ -3,7 +3,9 @@
 Each vector has one number on each of m random lines; a block of vectors keeps them as m sorted arrays.  A query
 puts a window around its own number on each line and widens all windows step by step (virtual rehashing): a
 vector that lies in enough of them is a candidate, and once the candidates are enough, they are verified by the
-exact measure.  Inner products become distances by one more component, which makes all vectors equally long.
+exact measure.  The k-th best score verified is a distance; the windows widen on until they are so wide that a nearer
+vector would all but surely be a candidate.  Inner products become distances by one more component, which makes all
+vectors equally long; where norms are unequal the distances are alike, and windows then take in most of a block.
 
 Queries and vectors meet in a grid of blocks of bounded size; a query keeps its best few of each block.
 """
@@ -11,6 +13,7 @@ Queries and vectors meet in a grid of blocks of bounded size; a query keeps its
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +25,20 @@ LINES, SEED = 112, 20240229
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 1_024
 #: Half the first window's width in standard deviations of a line, and how each step widens it.
 FIRST_WIDTH, WIDER, MOST_STEPS = 0.65, 1.06, 60
-#: A candidate lies in this share of a query's windows; a search ends once this share of a block are candidates.
+#: A candidate lies in this share of a query's windows; candidates are first verified once they are this share of a block.
 COLLISIONS, ENOUGH = 0.5, 0.2
+#: Windows whose half width is this share of a distance hold each vector so near with probability 0.64 a line: 3 standard
+#: deviations of 112 lines over COLLISIONS, so about 1 in 1,000 vectors nearer than the k-th best verified is missed.
+REACH = 0.916
+#: Inner products in double precision differ by less than this share of both lengths.
+ROUNDING = 1e-9
 
 
 class Index:
     """The sorted arrays of a block of vectors."""
 
     def __init__(self, vectors: np.ndarray, longest: float):
-        self.vectors = vectors
+        self.vectors, self.longest = vectors, longest
         scaled = vectors / longest
         last = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))
         self.lines = np.random.default_rng(SEED).normal(size=(vectors.shape[1] + 1, LINES))
@@ -43,37 +51,65 @@ class Index:
         self.spread = float(on.std(axis=0).mean()) or 1.0
 
     def candidates(self, queries: np.ndarray, least: int) -> list[np.ndarray]:
-        """For each query the vectors that collide often enough with it; at least so many unless the block has fewer.
+        """For each query the vectors that collide often enough with it in windows that cover the `least`-th best of them.
 
-        All queries widen their windows by the same steps, so a line is searched once a step for all of them.
+        All queries widen their windows by the same steps, so a line is searched once a step for all of them; those
+        with enough candidates then widen theirs once more, to what their own `least`-th best distance asks for.
         """
         n, q = len(self.vectors), len(queries)
-        size = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
-        on = np.column_stack([queries / size, np.zeros(q)]) @ self.lines
+        size = np.sqrt((queries * queries).sum(axis=1))
+        on = np.column_stack([queries / size[:, None], np.zeros(q)]) @ self.lines
         wanted = min(n, max(16 * least, int(ENOUGH * n)))
-        need = math.ceil(COLLISIONS * LINES)
         out: list[np.ndarray] = [np.arange(n)] * q
-        live = np.arange(q)
-        half = FIRST_WIDTH * self.spread
-        ahead, inside = np.empty_like(self.places), np.empty(self.places.shape, bool)
+        live, half, wider = np.arange(q), FIRST_WIDTH * self.spread, []
         for _ in range(MOST_STEPS):
-            edges = [(line.searchsorted(on[live, i] - half), line.searchsorted(on[live, i] + half, "right")) for i, line in enumerate(self.sorted)]
-            left, right = (np.array(e).T[:, :, None] for e in zip(*edges, strict=True))
             going = []
-            for k, j in enumerate(live.tolist()):
-                np.subtract(self.places, left[k].astype(np.uint16), out=ahead)  # places before the window wrap around
-                np.less(ahead, (right[k] - left[k]).astype(np.uint16), out=inside)
-                found = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
-                if len(found) >= wanted:
-                    out[j] = found
-                else:
-                    going.append(k)
-            live = live[going]
+            for j, found in zip(live.tolist(), self._inside(on[live], np.full(len(live), half)), strict=True):
+                if len(found) < wanted:
+                    going.append(j)
+                    continue
+                out[j] = found
+                if len(found) < n:
+                    near = self._edge(self._rough(found, queries[j]), least) / (size[j] * self.longest)
+                    reach = REACH * math.sqrt(max(0.0, 2 - 2 * near))
+                    if reach > half:
+                        wider.append((j, reach))
+            live = np.array(going, dtype=np.int64)
             if not len(live):
                 break
             half *= WIDER
+        if wider:
+            again = [j for j, _ in wider]
+            for j, found in zip(again, self._inside(on[again], np.array([reach for _, reach in wider])), strict=True):
+                out[j] = found
         return out
 
+    def best(self, found: np.ndarray, query: np.ndarray, least: int) -> np.ndarray:
+        """Those of the found that can be among the `least` best: more than rounding puts the others behind."""
+        if len(found) <= least:
+            return found
+        rough = self._rough(found, query)
+        return found[rough >= self._edge(rough, least) - ROUNDING * self.longest * math.sqrt(query @ query)]
+
+    def _rough(self, found: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products whose last digits depend on how they are summed; most of a block is faster taken as it lies."""
+        return (self.vectors @ query)[found] if 4 * len(found) > len(self.vectors) else self.vectors[found] @ query
+
+    @staticmethod
+    def _edge(score: np.ndarray, least: int) -> float:
+        return np.partition(score, len(score) - least)[len(score) - least]
+
+    def _inside(self, on: np.ndarray, half: np.ndarray) -> Iterator[np.ndarray]:
+        """The vectors that lie in enough windows of each query, of its own half width."""
+        need = math.ceil(COLLISIONS * LINES)
+        ahead, inside = np.empty_like(self.places), np.empty(self.places.shape, bool)
+        edges = [(line.searchsorted(on[:, i] - half), line.searchsorted(on[:, i] + half, "right")) for i, line in enumerate(self.sorted)]
+        left, right = (np.array(e).T[:, :, None] for e in zip(*edges, strict=True))
+        for k in range(len(on)):
+            np.subtract(self.places, left[k].astype(np.uint16), out=ahead)  # places before the window wrap around
+            np.less(ahead, (right[k] - left[k]).astype(np.uint16), out=inside)
+            yield np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
+
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, v (doubles): rows with an id and a vector that isn't zero and has only finite components.
@@ -114,6 +150,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             index = Index(flat[~asks][own], longest)
             asking = flat[asks]
             for query_id, query, found in zip(ids[asks].tolist(), asking, index.candidates(asking, k + 1), strict=True):
+                found = index.best(found, query, k + 1)
                 score = (index.vectors[found] * query).sum(axis=1)
                 keep = own_ids[found] != query_id
                 found, score = found[keep], score[keep]

@@ -199,6 +199,25 @@ def test_patterns_fill_a_sequence():
 # 5
 
 
+@pytest.mark.parametrize("norms", ["unit", "gaussian", "lognormal", "one longer"])
+def test_neighbours_recall_by_norms(norms):
+    """The windows of a query cover its k-th best, whether norms are equal or not."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    if norms != "gaussian":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rng.lognormal(0, 0.3, size=(3000, 1)) if norms == "lognormal" else 1
+    x[7] *= 3 if norms == "one longer" else 1
+    asking = np.arange(0, 3000, 20)
+    found = neighbours.Index(x, float(np.linalg.norm(x, axis=1).max())).candidates(x[asking], 21)
+    hit = 0
+    for q, f in zip(asking.tolist(), found, strict=True):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20].tolist()) & set(f.tolist()))
+    assert hit >= 0.98 * 20 * len(asking)
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)).astype(np.float32)
