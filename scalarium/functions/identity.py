@@ -131,3 +131,13 @@ def selection(text: str, spans: list[tuple[int, int]]) -> str:
     if not told:
         raise ValueError("no spans")
     return digest(SELECTION_DOMAIN, json.dumps(told))
+
+
+def selection_digest(text: Column, spans: Column) -> Column:
+    """selection() of a text and its spans (an array of pairs); null for a null text and where there are no spans."""
+
+    @pandas_udf("string")
+    def run(texts: pd.Series, chosen: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or c is None or not len(c) else selection(t, [(int(a), int(b)) for a, b in c]) for t, c in zip(texts, chosen, strict=True)], dtype=object)
+
+    return run(text, spans)

@@ -86,6 +86,13 @@ def spans(positions: DataFrame) -> DataFrame:
     return cut.groupBy("source_id", "ref", "island", "part").agg(F.min("pos").cast("long").alias("start"), (F.max("pos") + 1).cast("long").alias("end")).drop("island", "part")
 
 
+def covering(text: Column) -> Column:
+    """Spans of a whole text, as pairs in order, cut at 16,384 characters; none for an empty text."""
+    size = F.length(text).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), size - 1, F.lit(SPAN_SCALARS).cast("long"))
+    return F.when(size > 0, F.transform(starts, lambda a: F.array(a, F.least(a + SPAN_SCALARS, size)))).otherwise(F.array().cast("array<array<bigint>>"))
+
+
 def span_groups(sizes: Column, most: int = GROUP_SPANS, scalars: int = GROUP_SCALARS) -> Column:
     """For an array of span lengths in order, the number of the group each belongs to: a new one begins where it would hold too many spans or characters."""
     start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))

@@ -207,9 +207,8 @@ def anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def selection_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter("text is not null")
-    value = F.to_json(F.struct(F.substring("text", 1, 32).alias("text"), F.col("doc_id").alias("at")))
-    return docs.select("doc_id", identity.domain_digest("scalarium.test/1", value).alias("digest"))
+    """Each planted text's spans, which cover it; a text without characters has nothing to select, so its digest is null."""
+    return planted.texts(spark, sf_dir).select("doc_id", identity.selection_digest(F.col("text"), evidence.covering(F.col("text"))).alias("digest"))
 
 
 # profiles --------------------------------------------------------------------------------------------------------

@@ -245,3 +245,22 @@ def test_reports(spark):
     assert [f["id"] for f in got[1][1]["findings"]] == ["unicode.control", "unicode.zero_width"] and got[1][0] == 2 and got[2][1]["findings"] == [] and got[3][1]["status"] == "failed"
     assert all(r[3].isascii() and checked(r[3]) == ("1.0", None, len(r[1]["findings"])) for r in got.values())
     assert identity.canonical(got[2][3]) == identity.canonical(json.dumps(got[2][1]))
+
+
+def test_selection_digest_covers_whole_texts(spark, tmp_path):
+    """A change at a text's end shows, also behind the first span; null and empty texts keep their rows."""
+    import __spark_entry__ as entry
+    from scalarium.plans import planted
+
+    body = "the same beginning of every text " * 700
+    rows = [(1, body + "a"), (2, "short"), (15, None), (31, ""), (14, None)]
+    got = {}
+    for end in "ab":
+        spark.createDataFrame([(k, t[:-1] + end if k == 1 else t) for k, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/{end}/documents.parquet")
+        got[end] = {r.doc_id: r.digest for r in entry.queries()["selection_digest"](spark, f"{tmp_path}/{end}").collect()}
+    assert got["a"][1] != got["b"][1] and {k: v for k, v in got["a"].items() if k != 1} == {k: v for k, v in got["b"].items() if k != 1}
+    whole = body + "a" + planted.TAILS[1]
+    assert got["a"][1] == identity.selection(whole, [(0, 16384), (16384, len(whole))])
+    assert got["a"][2] == identity.selection("short" + planted.TAILS[2], [(0, 5 + len(planted.TAILS[2]))])
+    assert got["a"][14] == identity.selection(planted.MARK + planted.TAILS[14], [(0, 1 + len(planted.TAILS[14]))])
+    assert got["a"][15] is None and got["a"][31] is None and len(got["a"]) == 5
