@@ -217,13 +217,12 @@ def selection_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Rules from parts, facts from what they are; observations from customers, facts from their orders."""
     part, orders, customer = (_table(spark, sf_dir, t) for t in ("part", "orders", "customer"))
-    chosen = part.filter("p_partkey <= 60")
-    rules = chosen.select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 3).alias("kind"), F.element_at(F.array(*map(F.lit, profiles.ASSESSMENTS)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("assessment"), F.when(F.col("p_partkey") % 7 == 0, "retain").alias("queue"))
-    facts = chosen.select(F.col("p_partkey").alias("rule_id"), F.explode(F.array(F.col("p_partkey") % 11, F.col("p_partkey") % 13)).alias("fact"))
+    rules = part.select(F.col("p_partkey").alias("rule_id"), (F.col("p_partkey") % 3).alias("kind"), F.element_at(F.array(*map(F.lit, profiles.ASSESSMENTS)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("assessment"), F.when(F.col("p_partkey") % 7 == 0, "retain").alias("queue"))
+    facts = part.select(F.col("p_partkey").alias("rule_id"), F.explode(F.array(F.col("p_partkey") % 11, F.col("p_partkey") % 13)).alias("fact"))
     observations = customer.select(F.col("c_custkey").alias("observation_id"), F.col("c_nationkey").alias("artifact_id"), (F.col("c_custkey") % 3).alias("kind"), F.when(F.col("c_custkey") % 9 == 0, "other").otherwise("main").alias("scope"), (F.col("c_custkey") % 8 != 0).alias("complete"))
     has = orders.select(F.col("o_custkey").alias("observation_id"), (F.col("o_orderkey") % 13).alias("fact"))
-    signals = customer.filter("c_custkey % 97 = 0").select(F.col("c_custkey").alias("signal_id"), F.col("c_nationkey").alias("artifact_id"), (F.col("c_custkey") % 2 == 0).alias("mapping_complete"))
-    targets = customer.filter("c_custkey % 97 = 0").select(F.col("c_custkey").alias("signal_id"), F.col("c_custkey").alias("observation_id"))
+    signals = customer.select(F.col("c_custkey").alias("signal_id"), F.col("c_nationkey").alias("artifact_id"), (F.col("c_custkey") % 2 == 0).alias("mapping_complete"))
+    targets = customer.select(F.col("c_custkey").alias("signal_id"), F.col("c_custkey").alias("observation_id"))
     return rules, facts, observations, has, signals, targets
 
 

@@ -264,3 +264,42 @@ def test_selection_digest_covers_whole_texts(spark, tmp_path):
     assert got["a"][2] == identity.selection("short" + planted.TAILS[2], [(0, 5 + len(planted.TAILS[2]))])
     assert got["a"][14] == identity.selection(planted.MARK + planted.TAILS[14], [(0, 1 + len(planted.TAILS[14]))])
     assert got["a"][15] is None and got["a"][31] is None and len(got["a"]) == 5
+
+
+def test_profile_queries_take_every_part_and_customer(spark, tmp_path):
+    """Against brute force on a small fixture with keys that the queries once left out."""
+    import __spark_entry__ as entry
+
+    parts, customers = [*range(55, 75), 1000, 1001], [(k, k % 4) for k in range(90, 110)]
+    orders = [(100 * c + k, c) for c, _ in customers for k in range(c % 7)]
+    for name, rows, schema in [("part", [(p,) for p in parts], "p_partkey long"), ("customer", customers, "c_custkey long, c_nationkey int"), ("orders", orders, "o_orderkey long, o_custkey long")]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    has = {c: {o % 13 for o, by in orders if by == c} for c, _ in customers}
+    want = sorted((p, c) for p in parts for c, _ in customers if p % 3 == c % 3 and {p % 11, p % 13} <= has[c])
+    got = sorted(tuple(r) for r in entry.queries()["profile_rule_match"](spark, str(tmp_path)).collect())
+    assert got == want and any(p > 60 for p, _ in want)
+    told = {r.observation_id: (r.assessment, r.reason) for r in entry.queries()["profile_assessments"](spark, str(tmp_path)).collect()}
+    assert told == {c: ("unknown", "scope_mismatch") if c % 9 == 0 else ("suspicious", "pattern_override") for c, _ in customers}
+
+
+def test_rules_of_one_pattern(spark):
+    """Rules that share kind and facts fit alike, and the highest of them counts."""
+    rules = spark.createDataFrame([(1, "k", "expected", None), (2, "k", "noteworthy", "retain"), (3, "k", "expected", None), (4, "j", "expected", None), (5, "k", "suspicious", None)], "rule_id int, kind string, assessment string, queue string")
+    facts = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (3, "a"), (5, None)], "rule_id int, fact string")
+    obs = spark.createDataFrame([(1, 1, "k", "main", True), (2, 1, "j", "main", True), (3, 1, "k", "main", True)], "observation_id int, artifact_id int, kind string, scope string, complete boolean")
+    has = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (3, "b"), (1, None), (9, "a")], "observation_id int, fact string")
+    assert sorted((r.rule_id, r.observation_id) for r in profiles.rule_matches(rules, facts, obs, has).collect()) == [(1, 1), (2, 1), (3, 1), (4, 2)]
+    none = spark.createDataFrame([], "signal_id int, artifact_id int, mapping_complete boolean"), spark.createDataFrame([], "signal_id int, observation_id int")
+    got = {r.observation_id: (r.assessment, r.reason, r.omit_default) for r in profiles.assessments("main", rules, facts, obs, has, *none).collect()}
+    assert got == {1: ("noteworthy", "rule", False), 2: ("expected", "rule", True), 3: ("unknown", "no_rule", False)}
+
+
+def test_signal_effects_against_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    obs, signals = [(k, rng.randrange(6)) for k in range(40)], [(k, rng.randrange(6), k % 3 > 0) for k in range(14)]
+    targets = [(rng.randrange(14), rng.randrange(40)) for _ in range(60)] + [(s, o) for s, a, _ in signals[:4] for o, b in obs if a == b]
+    got = profiles.signal_effects(spark.createDataFrame(obs, "observation_id int, artifact_id int"), spark.createDataFrame(signals, "signal_id int, artifact_id int, mapping_complete boolean"), spark.createDataFrame(targets, "signal_id int, observation_id int"))
+    want = {o: (any(t == o for _, t in targets), any(not full and a == b and (s, o) not in targets for s, b, full in signals)) for o, a in obs}
+    assert {r.observation_id: (r.mapped, r.unmapped) for r in got.collect()} == want and len({u for _, u in want.values()}) == 2
