@@ -204,7 +204,7 @@ _FINDINGS_SQL = (
 )
 def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = planted.texts(spark, sf_dir)
-    return found_in.summaries(texts, detectors.unicode_kinds(texts))
+    return found_in.summaries(texts, detectors.all_findings(texts))
 
 
 @query(f"with {_FINDINGS_SQL}, s as (select d.doc_id, coalesce(max(case severity when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 when 'INFO' then 1 end), 0) as exit_code from documents d left join found f on d.doc_id = f.doc_id group by d.doc_id) select cast(exit_code as bigint) as exit_code, cast(count(*) as bigint) as documents from s group by exit_code")

@@ -5,11 +5,11 @@ Tables of parts, relationships, regions and so on are derived from the star sche
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scalarium.functions import identity, strings
-from scalarium.operators import assembly, detectors, diffs, evidence, packaging, profiles, reveal
+from scalarium.operators import assembly, diffs, evidence, packaging, profiles, reveal
 from scalarium.operators import findings as found_in
 from scalarium.plans import corpus, planted, reports
 from scalarium.plans.queries import _FINDINGS_SQL, _KINDS_SQL, ORACLE_SQL, QUERIES, joined, query
@@ -69,9 +69,15 @@ def acquisition_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 # corpus ----------------------------------------------------------------------------------------------------------
 
 
+def _parsed(spark: SparkSession, sf_dir: str, code: Column) -> DataFrame:
+    """Planted texts as parsed files, some with a failure code; where and why decoding failed isn't planted."""
+    return planted.texts(spark, sf_dir).withColumns({"failure_code": code, "failure": F.lit(None).cast("struct<encoding:string,start:int,end:int,reason:string>")})
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = planted.texts(spark, sf_dir).select("doc_id", "text", F.when(F.pmod("doc_id", F.lit(17)) == 3, "text.decode_failed").when(F.pmod("doc_id", F.lit(17)) == 4, "format.unsupported").alias("failure_code"))
-    return corpus.entries(texts, detectors.unicode_kinds(texts.filter("failure_code is null")))
+    code = F.when(F.pmod("doc_id", F.lit(17)) == 3, "text.decode_failed").when(F.pmod("doc_id", F.lit(17)) == 4, "format.unsupported")
+    parsed = _parsed(spark, sf_dir, code)
+    return corpus.entries(parsed, corpus.audited(parsed))
 
 
 _STATES_SQL = _FINDINGS_SQL + ", counts as (select doc_id, count(*) as n, max(case severity when 'HIGH' then 3 when 'MEDIUM' then 2 else 1 end) as code from found group by doc_id), states as (select d.doc_id, case when d.doc_id % 17 = 3 then 'failed' when d.doc_id % 17 = 4 then 'unsupported' when n > 0 then 'requires_review' else 'no_reported_findings' end as state, case when d.doc_id % 17 in (3, 4) then 4 else coalesce(code, 0) end as exit_code from documents d left join counts on d.doc_id = counts.doc_id)"
@@ -378,8 +384,8 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     """Planted texts of which some failed, what was executed, and numbered findings."""
     which = F.pmod("doc_id", F.lit(17))
     code = F.when(which == 3, "text.decode_failed").when(which == 4, "file.too_large")
-    parsed = planted.texts(spark, sf_dir).select("doc_id", "text", code.alias("failure_code"))
-    found = found_in.ordered_ranks(detectors.unicode_kinds(parsed.filter("failure_code is null")))
+    parsed = _parsed(spark, sf_dir, code)
+    found = found_in.ordered_ranks(corpus.audited(parsed))
     return parsed, assembly.executions(parsed), found
 
 

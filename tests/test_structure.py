@@ -303,3 +303,25 @@ def test_signal_effects_against_pairs(spark):
     got = profiles.signal_effects(spark.createDataFrame(obs, "observation_id int, artifact_id int"), spark.createDataFrame(signals, "signal_id int, artifact_id int, mapping_complete boolean"), spark.createDataFrame(targets, "signal_id int, observation_id int"))
     want = {o: (any(t == o for _, t in targets), any(not full and a == b and (s, o) not in targets for s, b, full in signals)) for o, a in obs}
     assert {r.observation_id: (r.mapped, r.unmapped) for r in got.collect()} == want and len({u for _, u in want.values()}) == 2
+
+
+def test_audit_queries_run_all_rules(spark, tmp_path):
+    """What is planted beyond single characters (UUID, labels, Base64, bare CR, zero-width binary) reaches states, codes and reports."""
+    import __spark_entry__ as entry
+
+    ids = [1, 3, 4, 8, 9, 10, 11, 15]
+    spark.createDataFrame([(k, "plain words") for k in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    review = "requires_review"
+    assert {r.doc_id: (r.state, r.exit_code) for r in rows("corpus_states")} == {1: (review, 3), 3: ("failed", 4), 4: ("unsupported", 4), 8: (review, 2), 9: (review, 1), 10: (review, 1), 11: (review, 1), 15: ("no_reported_findings", 0)}
+    summary = rows("corpus_summary")[0]
+    assert (summary.entries, summary.requires_review, summary.no_reported_findings, summary.failed, summary.unsupported, summary.exit_code) == (8, 5, 1, 1, 1, 4)
+    assert {(r.state, r.exit_code): r.documents for r in rows("corpus_triage")} == {(review, 3): 1, (review, 2): 1, (review, 1): 3, ("failed", 4): 1, ("unsupported", 4): 1, ("no_reported_findings", 0): 1}
+    entries = [e for e in (json.loads(r.line) for r in rows("corpus_records")) if e["type"] == "entry"]
+    assert {e["doc_id"]: e["high"] for e in entries}[1] == 1 and {e["doc_id"]: e["info"] for e in entries}[3] == 1
+    told = {r.doc_id: r.exit_code for r in rows("finding_summary")}
+    assert told[1] == 3 and told[8] == 2 and all(told[k] for k in (9, 10, 11)) and told[15] == 0
+    assert sum(r.documents for r in rows("exit_code_histogram") if r.exit_code == 0) == 1
+    codes = {r.doc_id: r.exit_code for r in rows("json_reports")}
+    assert codes == {1: 3, 3: 4, 4: 4, 8: 2, 9: 1, 10: 1, 11: 1, 15: 0}
+    assert rows("graph_problems") == []
