@@ -31,9 +31,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, that of the least id; of repeated rows of that id all stay, and rows without an id."""
-    gone = near.near_duplicates(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Keeps one row of each class, that of the least id (rows without an id last), then text digest, then place.
+
+    Each row is a document of its own here, whatever its id: repeated rows and copies without an id are of one class,
+    and different texts that share an id are judged apart.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = near.near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "__row")
+    told = rows.select("__row", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).join(classes, "__row")
+    kept = told.groupBy("class_id").agg(F.min(order).alias("least")).select(F.col("least.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,22 @@ def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id = -1")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_one_row_of_each_class_stays(spark, tmp_path):
+    """Repeated rows and copies without an id go but for one, which substring dedup then leaves whole; other texts of an id stay."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
+    repeated, nameless, shared, other, mixed = (text() for _ in range(5))
+    rows = [(7, repeated)] * 3 + [(None, nameless)] * 3 + [(None, mixed), (30, mixed), (30, mixed), (20, mixed + " tail")]
+    rows += [(1, shared), (9, shared + " tail"), (9, other)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["MinHash near-dedup"](spark, docs, str(tmp_path))
+    assert after.columns == docs.columns
+    after.write.parquet(str(tmp_path / "kept"))
+    after = stages["substring dedup"](spark, spark.read.parquet(str(tmp_path / "kept")), str(tmp_path))
+    want = [(7, repeated), (None, nameless), (20, mixed + " tail"), (1, shared), (9, other)]
+    assert sorted((r.doc_id or 0, r.text) for r in after.collect()) == sorted((k or 0, t) for k, t in want)
