@@ -50,8 +50,8 @@ class Index:
         np.put_along_axis(self.places, order, np.arange(len(vectors), dtype=np.uint16)[None], 1)
         self.spread = float(on.std(axis=0).mean()) or 1.0
 
-    def candidates(self, queries: np.ndarray, least: int) -> list[np.ndarray]:
-        """For each query the vectors that collide often enough with it in windows that cover the `least`-th best of them.
+    def candidates(self, queries: np.ndarray, least: int | np.ndarray) -> list[np.ndarray]:
+        """For each query the vectors that collide often enough with it in windows that cover the `least`-th best of them (a number for all, or one for each).
 
         All queries widen their windows by the same steps, so a line is searched once a step for all of them; those
         with enough candidates then widen theirs once more, to what their own `least`-th best distance asks for.
@@ -59,18 +59,19 @@ class Index:
         n, q = len(self.vectors), len(queries)
         size = np.sqrt((queries * queries).sum(axis=1))
         on = np.column_stack([queries / size[:, None], np.zeros(q)]) @ self.lines
-        wanted = min(n, max(16 * least, int(ENOUGH * n)))
+        least = np.broadcast_to(least, q)
+        wanted = np.minimum(n, np.maximum(16 * least, int(ENOUGH * n)))
         out: list[np.ndarray] = [np.arange(n)] * q
         live, half, wider = np.arange(q), FIRST_WIDTH * self.spread, []
         for _ in range(MOST_STEPS):
             going = []
             for j, found in zip(live.tolist(), self._inside(on[live], np.full(len(live), half)), strict=True):
-                if len(found) < wanted:
+                if len(found) < wanted[j]:
                     going.append(j)
                     continue
                 out[j] = found
                 if len(found) < n:
-                    near = self._edge(self._rough(found, queries[j]), least) / (size[j] * self.longest)
+                    near = self._edge(self._rough(found, queries[j]), int(least[j])) / (size[j] * self.longest)
                     reach = REACH * math.sqrt(max(0.0, 2 - 2 * near))
                     if reach > half:
                         wider.append((j, reach))
@@ -114,46 +115,46 @@ class Index:
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, v (doubles): rows with an id and a vector that isn't zero and has only finite components.
 
-    Of rows that share an id the least vector stays; vectors take part if their length is the commonest one.
+    Every such row stays, rows that share an id too.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query by inner product: query_id, rank (from 1), vec_id, score.
 
-    Queries are the vectors whose id is divisible by `every`; a query isn't its own neighbour.  The nearest come
+    Queries are the vectors whose id is divisible by `every`, of rows that share an id and a length the least vector.
+    Every other row of a query's length is a candidate, but none of its own id; vectors of each length are searched
+    on their own.  The nearest come
     first and ties by the smaller vec_id; scores are inner products of the original vectors in double precision.
     Other columns are left out.  An empty table gives an empty result.
     """
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col).withColumn("d", F.size("v"))
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id", "d").agg(F.min("v").alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    told = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"))
-    common = told.orderBy(F.desc("n"), "d").first()
-    n, dimension, longest, q = (common["n"], common["d"], common["longest"], common["q"]) if common else (0, 1, 1.0, 0)
-    rows = rows.filter(F.size("v") == dimension)
-    blocks, query_blocks = max(1, math.ceil(n / VECTOR_BLOCK)), max(1, math.ceil(q / QUERY_BLOCK))
-    block = lambda of: F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int")
-    every_one = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    base = rows.select("vec_id", "v", F.lit(False).alias("asks"), block(blocks).alias("block"), every_one(query_blocks).alias("query_block"))
-    asking = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", F.lit(True).alias("asks"), every_one(blocks).alias("block"), block(query_blocks).alias("query_block"))
+    grid = lambda n, size: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / size)).cast("int")
+    told = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).join(asked.groupBy("d").agg(F.count(F.lit(1)).alias("q")), "d")
+    told = F.broadcast(told.select("d", "longest", grid(F.col("n"), VECTOR_BLOCK).alias("blocks"), grid(F.col("q"), QUERY_BLOCK).alias("query_blocks")))  # a row for each length
+    every_one = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    # a row's place deals it to a block, so that rows of one id spread
+    base = rows.withColumn("place", F.monotonically_increasing_id()).join(told, "d").select("d", "longest", "vec_id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", "place"), "blocks").cast("int").alias("block"), every_one("query_blocks").alias("query_block"))
+    asking = asked.join(told, "d").select("d", "longest", "vec_id", "v", F.lit(True).alias("asks"), every_one("blocks").alias("block"), F.pmod(F.xxhash64("vec_id"), "query_blocks").cast("int").alias("query_block"))
 
     def cell(group: pa.Table) -> pa.Table:
-        ids, asks = group["vec_id"].to_numpy(), group["asks"].to_numpy()
+        ids, asks, dimension = group["vec_id"].to_numpy(), group["asks"].to_numpy(), group["d"][0].as_py()
         flat = group["v"].combine_chunks().flatten().to_numpy().reshape(-1, dimension)
         own = np.argsort(ids[~asks], kind="stable")
         own_ids = ids[~asks][own]
         out = []
         if asks.any() and len(own):
-            index = Index(flat[~asks][own], longest)
+            index = Index(flat[~asks][own], group["longest"][0].as_py())
             asking = flat[asks]
-            for query_id, query, found in zip(ids[asks].tolist(), asking, index.candidates(asking, k + 1), strict=True):
-                found = index.best(found, query, k + 1)
+            same = np.searchsorted(own_ids, ids[asks], "right") - np.searchsorted(own_ids, ids[asks])
+            for query_id, query, found in zip(ids[asks].tolist(), asking, index.candidates(asking, k + same), strict=True):
+                found = index.best(found[own_ids[found] != query_id], query, k)
                 score = (index.vectors[found] * query).sum(axis=1)
-                keep = own_ids[found] != query_id
-                found, score = found[keep], score[keep]
                 if len(found) > k:
                     edge = np.partition(score, len(score) - k)[len(score) - k]
                     near = score >= edge
@@ -161,8 +162,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
                 best = np.lexsort((own_ids[found], -score))[:k]
                 out.append((np.full(len(best), query_id), own_ids[found[best]], score[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
+        return pa.table({"d": np.full(len(columns[0]), dimension, np.int32), "query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    found = base.unionByName(asking).groupBy("block", "query_block").applyInArrow(cell, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = base.unionByName(asking).groupBy("d", "block", "query_block").applyInArrow(cell, "d int, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("d", "query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -218,6 +218,23 @@ def test_neighbours_recall_by_norms(norms):
     assert hit >= 0.98 * 20 * len(asking)
 
 
+def test_neighbours_of_each_length_and_every_row(spark):
+    """Vectors of a rarer length are searched too, and rows that share an id are all candidates."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=8)) for k in range(100)] + [(200 + k, rng.normal(size=5)) for k in range(60)]
+    rows += [(33, 9 * rows[0][1]), (33, 7 * rows[0][1]), *[(40, rng.normal(size=8)) for _ in range(30)]]
+    got = neighbours.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>")).collect()
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by[r.query_id].append((r.vec_id, round(r.score, 9)))
+    assert sorted(by) == [*range(0, 100, 20), 200, 220, 240]
+    for q, found in by.items():
+        query = min((v for k, v in rows if k == q), key=lambda v: v.tolist())
+        want = sorted(((k, round(float((v * query).sum()), 9)) for k, v in rows if k != q and len(v) == len(query)), key=lambda f: (-f[1], f[0]))[:20]
+        assert found == want
+    assert [k for k, _ in by[0][:2]] == [33, 33]
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)).astype(np.float32)
