@@ -151,35 +151,35 @@ def feature(codec: str, pcm: np.ndarray) -> str:
 
 
 def pcm(media: DataFrame) -> DataFrame:
-    """doc_id, pcm: stored media as WAV files of 16-bit samples at 16 kHz."""
+    """Stored media (doc_id, n_bytes, media) as WAV files of 16-bit samples at 16 kHz (pcm), with the codec and digests of what was stored and of the payload read from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, _ = raw_text(batch.column(1))
+            off, _ = raw_text(batch.column(2))
             for i, j in slices(off):
-                made = [wav("pcm16", resampled(s).astype("<i2").tobytes(), 2 * RATE) for _, _, s in expanded(batch.column(1).slice(i, j - i).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(made, pa.binary())], names=["doc_id", "pcm"])
+                files = batch.column(2).slice(i, j - i).to_pylist()
+                rows = []
+                for file, (codec, payload, samples) in zip(files, expanded(files), strict=True):
+                    made = wav("pcm16", resampled(samples).astype("<i2").tobytes(), 2 * RATE)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), codec, made))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm binary")
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """Digests of stored media (doc_id, n_bytes, media) and of the payload read from them, and a feature of the resampled samples."""
+def describe(made: DataFrame) -> DataFrame:
+    """The rows of pcm() with a feature of the samples in place of codec and samples."""
+    told = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off, _ = raw_text(batch.column(2))
-            for i, j in slices(off):
-                files = batch.column(2).slice(i, j - i).to_pylist()
-                rows = []
-                for file, (codec, payload, samples) in zip(files, expanded(files), strict=True):
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(codec, resampled(samples))))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            features = [feature(codec.as_py(), np.frombuffer(wav_data(file.as_py())[3], "<i2")) for codec, file in zip(batch.column(7), batch.column(8), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(features, pa.string())], names=[*told, "feature"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return made.select(*told, "codec", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """The texts stored as media in a table of the shared folder, read back and described; one row per row."""
-    return describe(stored(store(docs), "media"))
+    """The texts stored as media in a table of the shared folder, read back, stored again as samples and described from these; one row per row."""
+    return describe(stored(pcm(stored(store(docs), "media")), "pcm"))

@@ -1,6 +1,7 @@
 """The training-data operators against plain versions of what they do, on small tables with odd rows."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import json
@@ -176,6 +177,16 @@ def test_packing_holds_each_token_once(spark, docs, empty):
     assert packing.pack_documents(empty, PATH).count() == 0
 
 
+def test_resampled_audio_is_stored(spark, docs, tmp_path):
+    """round_trip() leaves the samples in the shared folder, and the feature is that of the stored ones."""
+    before = set(glob.glob(f"{tables.shared_dir(spark)}/pcm-*"))
+    told = collections.Counter((r.doc_id, r.feature) for r in audio.round_trip(docs).collect())
+    (path,) = set(glob.glob(f"{tables.shared_dir(spark)}/pcm-*")) - before
+    kept = spark.read.parquet(path).collect()
+    assert collections.Counter((r.doc_id, audio.feature(r.codec, np.frombuffer(audio.wav_data(r.pcm)[3], "<i2"))) for r in kept) == told
+    assert all(audio.wav_data(r.pcm)[:3] == (1, 16000, 2) for r in kept)
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(3)
     histogram = np.bincount(np.minimum(1 + rng.gamma(1.5, 120, 20_000).astype(int), 512), minlength=513)
