@@ -23,7 +23,7 @@ ORDERS = (5, 6, 7, 8)
 COUNTS = (1, 2, 4, 8)
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
-#: Labelled rows that the classifier is fitted on: all, or about so many drawn by a hash of the id.
+#: Labelled rows that the regression is fitted on: all, or about so many drawn by a hash of the id.
 SAMPLE_ROWS = 24_000
 #: Features that get a weight at most, how many documents must have one, and the log-likelihood it must add.
 KEPT_FEATURES, LEAST_DOCUMENTS, LEAST_GAIN = 8192, 5, 8.0
@@ -129,15 +129,15 @@ def logistic(doc: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.n
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """The classifier of labelled documents whose id isn't held out; a document with several labels takes the highest.
 
-    Without labels of both kinds the score is the share of toxic labels (0.5 without any).  The labels drawn are
-    few enough to send to every task; the features of their documents are counted there.
+    Without labels of both kinds the score is the share of toxic labels (0.5 without any).  Features are counted over
+    all labelled documents; the regression is fitted on labels drawn, few enough to send to every task.
     """
     own = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("label_id")))
     n = own.count()
-    if n > sample_rows:
-        own = own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 32)) < int(sample_rows / n * (1 << 32)))
     own = own.groupBy("label_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("label_id")).select("label", "text")
+    fitted = own if n <= sample_rows else own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 32)) < int(sample_rows / n * (1 << 32)))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    labelled, sample = (text.join(of, F.col("doc_id") == F.col("label_id")).select("label", "text") for of in (own, F.broadcast(fitted)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, n = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             has = np.flatnonzero(have[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has) + 1, k, np.int32)), pa.array(np.append(has, -1).astype(np.int32)), pa.array(np.append(have[k][has], n[k]))], names=["label", "feature", "n"])
 
-    told = rows.mapInArrow(count, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    told = labelled.mapInArrow(count, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
     told = told.groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n")).filter(f"n >= {LEAST_DOCUMENTS} or feature < 0").toArrow()  # at most FEATURES rows
     feature, toxic_n, all_n = (told[c].to_numpy() for c in ("feature", "toxic", "n"))
     base = feature < 0
@@ -178,11 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 column = np.searchsorted(best, feature).astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([column[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["label", "columns"])
 
-    drawn = rows.mapInArrow(having, "label int, columns binary").toArrow()
+    drawn = sample.mapInArrow(having, "label int, columns binary").toArrow()
     columns = [np.frombuffer(x.as_py(), "<u2") for x in drawn["columns"]]
     label = (drawn["label"].to_numpy() > 0).astype(float)
     doc = np.repeat(np.arange(len(columns)), [len(x) for x in columns])
-    column = np.concatenate(columns).astype(np.int64)
+    column = np.concatenate([np.zeros(0, "<u2"), *columns]).astype(np.int64)
     w, constant = logistic(doc, column, scale[column], label, len(best))
     weights = np.zeros(FEATURES)
     weights[best] = w * scale

@@ -498,3 +498,14 @@ def test_words_and_windows():
 
 def test_shared_folder(spark):
     assert tables.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_toxic_counts_are_of_all_labelled_rows(spark):
+    """A toxic word that the sample has too rarely gets its weight from the counts of all rows."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choices("house water light thing stone river".split(), k=12)) + (" nitwit" if k % 2 else "") + (" zorgblat" if k % 50 == 1 else ""), k % 2) for k in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_rows=200)
+    _, feature = toxicity.features(np.frombuffer(b"zorgblat", np.uint8), np.array([0, 8]))
+    assert model.weights[feature].max() > 0
