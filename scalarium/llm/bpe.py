@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scalarium.llm.text import U64, raw_text, slices, span_hashes
+from scalarium.llm.text import U64, eights, raw_text, slices, span_hashes, span_part
 
 #: Letters and numbers that Unicode 16 has beyond the tables of Python's unicodedata.
 LATER_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
@@ -33,8 +33,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 CONTRACTIONS = [b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"]
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
-#: Words whose ids a Python worker remembers, at most, and the length of such words.
-REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64
+#: Words whose ids a Python worker remembers, at most (a slice's more), and the greatest length of such words.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -243,27 +243,65 @@ class Codec:
         self.keys = np.zeros(0, U64)  # sorted hashes of remembered words
         self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        #: The words themselves, eight bytes a number, and where each one's begin and how many bytes it has.
+        self.spelt, self.spelt_used = np.zeros(1 << 16, U64), 0
+        self.spelt_at, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Remember new words; keys are sorted and unknown."""
+    @staticmethod
+    def _room(pool: np.ndarray, used: int, more: int) -> np.ndarray:
+        while used + more > len(pool):
+            pool = np.concatenate([pool, np.zeros_like(pool)])
+        return pool
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where ids of these words now stand in the pool, beyond what is in use, and how many each has."""
         made = [self.automaton.encode(w) for w in words]
         size = np.fromiter(map(len, made), np.int64, len(made))
         flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool = self._room(self.pool, self.used, len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
-        place = self.used + np.cumsum(size) - size
-        self.used += len(flat)
+        return self.used + np.cumsum(size) - size, size
+
+    def _learn(self, keys: np.ndarray, words: list[bytes], parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember new words of up to REMEMBERED_BYTES bytes; keys are sorted and unknown."""
+        place, size = self._encoded(words)
+        self.used += int(size.sum())
+        numbers = (sizes + 7) >> 3
+        spelt_at = self.spelt_used + np.cumsum(numbers) - numbers
+        self.spelt = self._room(self.spelt, self.spelt_used, int(numbers.sum()))
+        for k in range(int(numbers.max(initial=0))):
+            which = np.flatnonzero(numbers > k)
+            self.spelt[spelt_at[which] + k] = span_part(parts, starts[which], sizes[which], k)
+        self.spelt_used += int(numbers.sum())
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.place, self.size = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.place, place), (self.size, size)))
+        told = ((self.keys, keys), (self.place, place), (self.size, size), (self.spelt_at, spelt_at), (self.bytes, sizes))
+        self.keys, self.place, self.size, self.spelt_at, self.bytes = (np.insert(a, at, b) for a, b in told)
+
+    def _is(self, at: np.ndarray, parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each span is, to the byte, the remembered word at that place."""
+        same = self.bytes[at] == sizes
+        which, k = np.flatnonzero(same), 0
+        while len(which):
+            equal = self.spelt[self.spelt_at[at[which]] + k] == span_part(parts, starts[which], sizes[which], k)
+            same[which[~equal]] = False
+            k += 1
+            which = which[equal & (sizes[which] > 8 * k)]
+        return same
 
     def encode_plain(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents one after another, and how many each has; no special token is looked for."""
+        """Ids of all documents one after another, and how many each has; no special token is looked for.
+
+        A word is looked up by its hash and taken only if its bytes are those of the word remembered; other words, and
+        those longer than REMEMBERED_BYTES, are encoded on their own.
+        """
         starts = self.splitter.starts(buf, off)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         ends = np.append(starts[1:], len(buf))
-        keys = span_hashes(buf, starts, ends)
+        sizes = ends - starts
+        parts = eights(buf)
+        short = np.flatnonzero(sizes <= REMEMBERED_BYTES)
+        keys = span_hashes(buf, starts[short], ends[short])
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) > REMEMBERED:
             self._forget()
@@ -271,17 +309,29 @@ class Codec:
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
             new = self.keys[at] != unique
+        data = buf.tobytes()
+        spelling = lambda which: [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
         if new.any():
-            data = buf.tobytes()
-            which = first[new]
-            self._learn(unique[new], [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
-        at = np.searchsorted(self.keys, unique)
-        size, place = self.size[at][inverse], self.place[at][inverse]
+            which = short[first[new]]
+            self._learn(unique[new], spelling(which), parts, starts[which], sizes[which])
+        at = np.searchsorted(self.keys, unique)[inverse]
+        size, place = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        own = np.ones(len(starts), bool)
+        if len(short):
+            size[short], place[short] = self.size[at], self.place[at]
+            own[short] = ~self._is(at, parts, starts[short], sizes[short])
+        if own.any():
+            which = np.flatnonzero(own)
+            words = spelling(which)
+            each = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            own_place, own_size = self._encoded(list(each))
+            at = np.fromiter((each[w] for w in words), np.int64, len(words))
+            size[which], place[which] = own_size[at], own_place[at]
         stops = np.cumsum(size)
         ids = self.pool[np.repeat(place - (stops - size), size) + np.arange(int(stops[-1]))]
         upto = np.concatenate([[0], stops])[np.searchsorted(starts, off)]
-        if (ends - starts).max() > 1 << 16:  # a word of that length isn't worth its place
-            self._forget()
+        if len(self.pool) > 2 * self.used + (1 << 22):  # long words have stretched it
+            self.pool = self.pool[: self.used + (1 << 16)].copy()
         return ids, np.diff(upto)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

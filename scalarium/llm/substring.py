@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarium.llm.text import U64, raw_text, slices, span_hashes, window_hashes, window_starts, word_bounds
+from scalarium.llm.text import U64, distinct, raw_text, slices, span_hashes, window_hashes, window_starts, word_bounds
 
 CHUNK_WINDOWS = 1_000_000
 BUCKET_BYTES = 16 << 20
@@ -150,7 +150,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = by_bucket.popitem()
         all_hashes = unpacked_hashes(b"".join(r[1] for r in rows))
         ordered = np.sort(all_hashes)
-        repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        repeated = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
         if not len(repeated):
             continue
         at = np.minimum(np.searchsorted(repeated, all_hashes), len(repeated) - 1)
@@ -174,7 +174,7 @@ def _merged(width: int):
                 hit.append(unpacked_gaps(places))
         n = docs[:, 4]
         first = np.cumsum(n) - n
-        windows = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
+        windows = distinct(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
         doc = np.searchsorted(first, windows, side="right") - 1
         place = windows - first[doc]
         # a window begins a new interval if the one before doesn't reach it
@@ -182,7 +182,7 @@ def _merged(width: int):
         new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + width)
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(windows)) - 1
-        found = np.unique(doc[begin])
+        found = distinct(doc[begin])
         edge = np.searchsorted(doc[begin], np.append(found, len(docs)))
         spans = np.stack([place[begin], place[end[: len(begin)]] + width], 1).astype("<i8") if len(begin) else np.zeros((0, 2), "<i8")
         return pa.table(

@@ -6,6 +6,7 @@ slice of documents at a time.  A document longer than a slice is a slice of its
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
+#: Bytes of spans that are hashed in numpy.
+LONG_SPAN = 1024
 
 #: Bytes that separate words: the space and U+0009 to U+000D.
 IS_SPACE = np.zeros(256, bool)
@@ -33,7 +36,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of x, ascending."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=x[:1] ^ x.dtype.type(1)))] if len(x) else x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +106,37 @@ def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.diff(np.searchsorted(starts, off))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, by differences of one running polynomial."""
-    up, down = powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE_VALUES[buf] * up[:-1], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on as one number, the first byte the lowest; zeros follow buf."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_part(parts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of spans that are longer than 8 k bytes, as numbers; what lies beyond a span is zero."""
+    left = np.minimum(sizes - 8 * k, 8).astype(U64)
+    return parts[starts + 8 * k] & (~U64(0) >> (U64(64) - (left << U64(3))))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes: eight bytes at a time are mixed with what came before.
+
+    Spans of up to eight bytes that are equally long never share one; longer than LONG_SPAN they are hashed by BLAKE2.
+    """
+    sizes = ends - starts
+    out = mix64(sizes.astype(U64) + U64(seed))
+    parts = eights(buf)
+    long = np.flatnonzero(sizes > LONG_SPAN)
+    which, k = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN)), 0
+    while len(which):
+        out[which] = mix64(out[which] * _BASE + span_part(parts, starts[which], sizes[which], k))
+        k += 1
+        which = which[sizes[which] > 8 * k]
+    view = memoryview(np.ascontiguousarray(buf))
+    for i in long.tolist():
+        digest = hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def window_starts(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

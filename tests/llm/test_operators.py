@@ -70,6 +70,32 @@ def test_bpe_on_random_text():
     assert [g.tolist() for g in got] == [e.ids for e in told.encode_batch(some, add_special_tokens=False)]
 
 
+def thue_morse(n: int, a: str, b: str) -> tuple[str, str]:
+    """Two different words that agree in every polynomial hash modulo a power of two, if long enough."""
+    told = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in told), "".join((b, a)[x] for x in told)
+
+
+@pytest.mark.parametrize("n", [32, 64, 1024])
+def test_words_that_hash_alike_are_told_apart(n, monkeypatch):
+    told = Tokenizer.from_file(PATH)
+    coder = bpe.codec(PATH)
+    texts = ["\n".join(thue_morse(n, "a", "b")), " ".join(thue_morse(n, "q", "z")), "one two three " * 3]
+    for hashes in (bpe.span_hashes, lambda buf, starts, ends: np.zeros(len(starts), np.uint64)):  # at last all alike
+        coder._forget()
+        monkeypatch.setattr(bpe, "span_hashes", hashes)
+        for t in texts * 2:
+            buf = np.frombuffer(t.encode(), np.uint8)
+            ids, counts = coder.encode(buf, np.array([0, len(buf)]))
+            assert ids.tolist() == told.encode(t, add_special_tokens=False).ids and counts.sum() == len(ids)
+            assert coder.decode(ids)[0].tobytes() == t.encode()
+    coder._forget()
+    a, b = thue_morse(1024, "a", "b")
+    buf = np.frombuffer((a + b).encode(), np.uint8)
+    first, second = text.span_hashes(buf, np.array([0, 1024]), np.array([1024, 2048]))
+    assert first != second
+
+
 def test_automaton_of_few_merges_agrees_with_merging():
     merges = [(b"a", b"b"), (b"ab", b"a"), (b"b", b"b"), (b"a", b"a"), (b"aba", b"b"), (b"bb", b"a")]
     words = [bytes([b]) for b in b"ab"] + [x + y for x, y in merges]
