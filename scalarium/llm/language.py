@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scalarium.llm.tables import bounded
 from scalarium.llm.text import raw_text, slices
 
 UNDETERMINED = "und"
@@ -188,7 +189,7 @@ def _predicted(own: Model, column: pa.Array) -> Iterator[tuple[int, int, list[st
     """Of each slice of a column of texts: first row, the one after its last, languages, scores, proportions."""
     off, buf = raw_text(column)
     null = column.is_null().to_numpy(zero_copy_only=False)
-    for i, j in slices(off, 1 << 20):
+    for i, j in slices(off, (1 << 22) // max(4, len(own.languages))):  # numbers of a slice are words times languages
         part, edges = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         grams, starts, ends, words = trigrams(part, edges)
         n = j - i
@@ -224,15 +225,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def known(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
-    """Rows of docs, with all their columns, whose language is predicted (not `und`) with at least that score.  Nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
-    at = docs.columns.index(text_col)
+    """Rows of docs, with all their columns, whose language is predicted (not `und`) with at least that score.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A null text, one without letters and any text when nothing was learned go.  Only texts are sent to Python, which
+    returns a verdict; rows are dropped in the JVM.  Nothing is shuffled.
+    """
+    shared = bounded(docs.sparkSession).sparkContext.broadcast((model.languages, model.log_p))
+
+    @F.arrow_udf("boolean")
+    def is_known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shared.value)
-        for batch in batches:
-            for i, j, names, score, _ in _predicted(own, batch.column(at)):
-                good = np.array([x != UNDETERMINED for x in names]) & (score >= least_score)
-                yield batch.slice(i, j - i).filter(pa.array(good))
+        for column in texts:
+            good = np.zeros(len(column), bool)
+            for i, j, names, score, _ in _predicted(own, column):
+                good[i:j] = np.array([x != UNDETERMINED for x in names]) & (score >= least_score)
+            yield pa.array(good)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(is_known(docs[text_col]))

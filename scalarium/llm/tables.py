@@ -8,7 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch, at most (or one row), unless the session says otherwise: a worker and its executor hold several.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, whose Arrow batches are bounded by bytes from now on; a setting of its own stays."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,7 +40,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """df written as a table in the shared folder and read from there: its lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = fresh_path(spark, label)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scalarium.llm.language import FOLD, SYMBOL_BITS, held_out
-from scalarium.llm.text import raw_text, slices
+from scalarium.llm.tables import bounded
+from scalarium.llm.text import distinct, raw_text, slices
 
 ORDERS = (5, 6, 7, 8)
 #: How often a document has an n-gram: each level that it reaches is a feature.
@@ -28,8 +29,10 @@ SAMPLE_ROWS = 24_000
 #: Features that get a weight at most, how many documents must have one, and the log-likelihood it must add.
 KEPT_FEATURES, LEAST_DOCUMENTS, LEAST_GAIN = 8192, 5, 8.0
 THRESHOLD = 0.7
+#: Features whose counts are sent together.
+BLOCK = 1 << 14
 #: Bytes of text taken at a time, where all n-grams are kept and where few are.
-COUNTED_BYTES, SCORED_BYTES = 1 << 18, 1 << 19
+COUNTED_BYTES, SCORED_BYTES = 1 << 17, 1 << 19
 
 
 _LEVELS = [(k + 1) * 0x9E377 & (FEATURES - 1) for k in range(len(COUNTS))]
@@ -55,6 +58,7 @@ def features(buf: np.ndarray, off: np.ndarray, grams: np.ndarray | None = None)
     keep[1:] |= of[1:] != of[:-1]
     symbols, of = symbols[keep], of[keep]
     found = []
+    kind = np.uint32 if len(sizes) <= 1 << (32 - FEATURE_BITS) else np.int64
     code = symbols
     for order in range(2, max(ORDERS) + 1):
         if len(code) < 2:
@@ -65,10 +69,13 @@ def features(buf: np.ndarray, off: np.ndarray, grams: np.ndarray | None = None)
             at = np.arange(len(code)) if grams is None else np.flatnonzero(grams[hashed])
             doc = of[at]
             within = of[at + order - 2] == doc  # the last symbol may be the one that parts documents
-            found.append((doc[within] << FEATURE_BITS) | hashed[at[within]].astype(np.int64))
-    pairs, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-    levels = [pairs[count >= least] ^ level for least, level in zip(COUNTS, _LEVELS, strict=True)]
-    pairs = np.unique(np.concatenate(levels))
+            found.append(((doc[within] << FEATURE_BITS) | hashed[at[within]].astype(np.int64)).astype(kind))
+    every = np.sort(np.concatenate(found)) if found else np.zeros(0, kind)
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    first = np.flatnonzero(new)
+    pairs, count = every[first], np.diff(first, append=len(every))
+    pairs = distinct(np.concatenate([pairs[count >= least] ^ kind(level) for least, level in zip(COUNTS, _LEVELS, strict=True)])).astype(np.int64)
     return pairs >> FEATURE_BITS, pairs & (FEATURES - 1)
 
 
@@ -126,18 +133,50 @@ def logistic(doc: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.n
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The classifier of labelled documents whose id isn't held out; a document with several labels takes the highest.
+def packed_counts(n: np.ndarray) -> bytes:
+    """Numbers from 0 on in one byte each, those over 254 in eight more at the end."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n > 254].astype("<i8").tobytes()
+
+
+def unpacked_counts(data: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<i8", -1, size)
+    return n
+
+
+_COUNTED = "block int, other binary, toxic binary, n_other long, n_toxic long"
+
+
+def _counted(made: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of _COUNTED from numbers of documents by class and feature, and by class; blocks that have none are left out."""
+    for block in range(FEATURES // BLOCK):
+        part = made[:, block * BLOCK : (block + 1) * BLOCK]
+        if part.any() or block == 0:
+            row = [block, *map(packed_counts, part), *(int(x) if block == 0 else 0 for x in n)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("block", "other", "toxic", "n_other", "n_toxic"), row, strict=True))], pa.schema([("block", pa.int32()), ("other", pa.binary()), ("toxic", pa.binary()), ("n_other", pa.int64()), ("n_toxic", pa.int64())]))
+
 
-    Without labels of both kinds the score is the share of toxic labels (0.5 without any).  Features are counted over
-    all labelled documents; the regression is fitted on labels drawn, few enough to send to every task.
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of rows of _COUNTED by block."""
+    sums: dict[int, np.ndarray] = {}
+    n = np.zeros(2, np.int64)
+    for batch in batches:
+        for row in batch.to_pylist():
+            n += (row["n_other"], row["n_toxic"])
+            own = sums.setdefault(row["block"], np.zeros((2, BLOCK), np.int64))
+            for k, told in enumerate((row["other"], row["toxic"])):
+                own[k] += unpacked_counts(told, BLOCK)
+    for block, own in sums.items():
+        told = [block, *map(packed_counts, own), *(int(x) if block == 0 else 0 for x in n)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(told, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["block", "other", "toxic", "n_other", "n_toxic"])
+
+
+def document_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many other and toxic documents of `labelled` (label, text) have each feature, and how many there are.
+
+    A task adds up what it has met and sends it once, in blocks of features of about a byte each; so what is shuffled
+    is 2 MB a task at most and a block's sum takes one task's bounded memory.  The driver gets one row a block.
     """
-    own = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("label_id")))
-    n = own.count()
-    own = own.groupBy("label_id").agg(F.max("label").alias("label"))
-    fitted = own if n <= sample_rows else own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 32)) < int(sample_rows / n * (1 << 32)))
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled, sample = (text.join(of, F.col("doc_id") == F.col("label_id")).select("label", "text") for of in (own, F.broadcast(fitted)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, n = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
@@ -149,21 +188,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 doc, feature = features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 for k in (0, 1):
                     have[k] += np.bincount(feature[label[i:j][doc] == k], minlength=FEATURES)
-        for k in (0, 1):
-            has = np.flatnonzero(have[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has) + 1, k, np.int32)), pa.array(np.append(has, -1).astype(np.int32)), pa.array(np.append(have[k][has], n[k]))], names=["label", "feature", "n"])
-
-    told = labelled.mapInArrow(count, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
-    told = told.groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n")).filter(f"n >= {LEAST_DOCUMENTS} or feature < 0").toArrow()  # at most FEATURES rows
-    feature, toxic_n, all_n = (told[c].to_numpy() for c in ("feature", "toxic", "n"))
-    base = feature < 0
-    n_toxic, n_all = int(toxic_n[base].sum()), int(all_n[base].sum())
-    toxic, other = np.zeros(FEATURES), np.zeros(FEATURES)
-    toxic[feature[~base]], other[feature[~base]] = toxic_n[~base], (all_n - toxic_n)[~base]
-    best = np.sort(informative(toxic, other, n_toxic, n_all - n_toxic)) if 0 < n_toxic < n_all else np.zeros(0, np.int64)
+        if n.any():
+            yield from _counted(have, n)
+
+    told = labelled.mapInArrow(count, _COUNTED).repartition("block").mapInArrow(_added, _COUNTED).toArrow()
+    have, n = np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
+    for row in told.to_pylist():
+        n += (row["n_other"], row["n_toxic"])
+        at = slice(row["block"] * BLOCK, (row["block"] + 1) * BLOCK)
+        have[0, at], have[1, at] = (unpacked_counts(row[k], BLOCK) for k in ("other", "toxic"))
+    return have, n
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The classifier of labelled documents whose id isn't held out; a document with several labels takes the highest.
+
+    Rows without an id or a label teach nothing; documents that share an id each count with its label, and null texts as
+    empty.  Without labels of both kinds the score is the share of toxic labels (0.5 without any).  Features are counted
+    over all labelled documents; the regression is fitted on labels drawn, few enough to send to every task.
+    """
+    bounded(docs.sparkSession)
+    own = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("label_id")))
+    n = own.count()
+    own = own.groupBy("label_id").agg(F.max("label").alias("label"))
+    fitted = own if n <= sample_rows else own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 32)) < int(sample_rows / n * (1 << 32)))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    labelled, sample = (text.join(of, F.col("doc_id") == F.col("label_id")).select("label", "text") for of in (own, F.broadcast(fitted)))
+    (other, toxic), (n_other, n_toxic) = document_counts(labelled)
+    best = np.sort(informative(toxic.astype(float), other.astype(float), n_toxic, n_other)) if n_toxic and n_other else np.zeros(0, np.int64)
     if not len(best):
-        return Model(np.zeros(FEATURES), float(np.log((n_toxic + 1) / (n_all - n_toxic + 1))))
-    scale = ratios(toxic, other)[best]
+        return Model(np.zeros(FEATURES), float(np.log((n_toxic + 1) / (n_other + 1))))
+    few = toxic + other < LEAST_DOCUMENTS
+    scale = ratios(np.where(few, 0, toxic), np.where(few, 0, other))[best]
     wanted = np.zeros(FEATURES, bool)
     wanted[best] = True
     grams = with_levels(wanted)
@@ -225,14 +281,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs, with all their columns, whose score is under the threshold.  Nothing is shuffled."""
+    """Rows of docs, with all their columns, whose score is under the threshold; a null text counts as empty.
+
+    Only texts are sent to Python, which returns a verdict; rows are dropped in the JVM.  Nothing is shuffled.
+    """
+    bounded(docs.sparkSession)
     make = _shared(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def is_clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = make()
-        for batch in batches:
-            for i, j, p in _scored(own, batch.column(at)):
-                yield batch.slice(i, j - i).filter(pa.array(p < threshold))
+        for column in texts:
+            yield pa.array(np.concatenate([np.zeros(0), *(p for _, _, p in _scored(own, column))]) < threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(is_clean(docs[text_col]))
