@@ -248,13 +248,51 @@ def test_neighbours_recall_by_norms(norms):
     asking = np.arange(0, 3000, 20)
     found = neighbours.Index(x, float(np.linalg.norm(x, axis=1).max())).candidates(x[asking], 21)
     hit = 0
-    for q, f in zip(asking.tolist(), found, strict=True):
+    for q, (f, _) in zip(asking.tolist(), found, strict=True):
         score = x @ x[q]
         score[q] = -np.inf
         hit += len(set(np.argsort(-score)[:20].tolist()) & set(f.tolist()))
     assert hit >= 0.98 * 20 * len(asking)
 
 
+def test_windows_widen_by_what_they_newly_take_in():
+    """Counts kept while windows widen are those of the last windows counted at once, and few vectors are verified where some are near."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(120, 32))
+    x = centres[rng.integers(0, 120, 6000)] + 0.15 * rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = neighbours.Index(x, 1.0)
+    hit = 0
+    index.begin /= 3  # so windows must widen
+    for q, (found, score) in zip(range(0, 6000, 60), index.candidates(x[::60], 21), strict=True):
+        exact = x @ x[q]
+        assert np.allclose(score, exact[found])
+        hit += len(set(np.argsort(-exact)[:21].tolist()) & set(found.tolist()))
+        edge = np.sqrt(max(0, 2 - 2 * np.sort(exact[found])[-21]))
+        on = np.column_stack([x, np.zeros(6000)]) @ index.lines
+        inside = (np.abs(on - on[q]) <= neighbours.WIDTH * edge * 0.999).sum(axis=1) >= neighbours.THRESHOLD
+        assert set(np.flatnonzero(inside).tolist()) <= set(found.tolist())
+    assert hit >= 0.95 * 21 * 100
+    assert index.verified < 0.1 * 6000 * 100
+
+
+def test_neighbours_recall_on_a_table(spark):
+    """9,000 vectors without any structure, in the blocks that the query makes."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(9000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist(), 1, "b") for k, v in enumerate(x)], "vec_id long, embedding array<float>, block int, asks string")
+    by = collections.defaultdict(set)
+    for r in neighbours.nearest(df).collect():
+        by[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 9000, 20):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hit += len(by[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 20 * 450
+
+
 def test_neighbours_of_each_length_and_every_row(spark):
     """Vectors of a rarer length are searched too, and rows that share an id are all candidates."""
     rng = np.random.default_rng(8)
