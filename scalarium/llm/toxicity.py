@@ -213,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.groupBy("label_id").agg(F.max("label").alias("label"))
     fitted = own if n <= sample_rows else own.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 32)) < int(sample_rows / n * (1 << 32)))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled, sample = (text.join(of, F.col("doc_id") == F.col("label_id")).select("label", "text") for of in (own, F.broadcast(fitted)))
+    # labels grow with the documents, so they aren't broadcast, however few they are; those drawn have a bound
+    labelled, sample = (text.join(of, F.col("doc_id") == F.col("label_id")).select("label", "text") for of in (own.hint("merge"), F.broadcast(fitted)))
     (other, toxic), (n_other, n_toxic) = document_counts(labelled)
     best = np.sort(informative(toxic.astype(float), other.astype(float), n_toxic, n_other)) if n_toxic and n_other else np.zeros(0, np.int64)
     if not len(best):
