@@ -1,10 +1,10 @@
 """Removal of repeated passages: Rabin-Karp hashes of every window of so many words, counted in Spark.
 
 A map task hashes all windows of its documents, in chunks.  A chunk sends each hash at most twice (twice if
-it has met it again itself), packed by bucket: 7 bytes of hash (the bucket holds the rest) and a byte or two
+it has met it again itself), packed by bucket: 8 bytes of hash (the bucket holds more of it) and a byte or two
 of position.  A bucket's task sorts its hashes, and answers each chunk with the positions of those that came
 more than once.  A chunk's task merges these into maximal intervals of words by document.  So a window costs
-about nine bytes of shuffle and is never a row, and a hash that millions of windows share arrives at its
+about ten bytes of shuffle and is never a row, and a hash that millions of windows share arrives at its
 bucket at most twice per chunk.
 """
 
@@ -20,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarium.llm.text import U64, distinct, raw_text, slices, span_hashes, window_hashes, window_starts, word_bounds
+from scalarium.llm.text import U64, distinct, mix64, raw_text, slices, span_hashes, window_hashes, window_starts, word_bounds
 
 CHUNK_WINDOWS = 1_000_000
 BUCKET_BYTES = 16 << 20
 _OWN, _DOCS, _HASHES = 0, 1, 2
+_SECOND = U64(0xA0761D6478BD642F)
 _ROW = "key int, chunk long, kind int, hashes binary, places binary"
 
 
@@ -43,22 +44,12 @@ def unpacked_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-def packed_hashes(hashes: np.ndarray) -> bytes:
-    """The low seven bytes of each."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-
-
-def unpacked_hashes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
-    return out.reshape(-1).view("<u8")
-
-
 class _Chunk:
     """Windows of consecutive documents of one task."""
 
     def __init__(self):
         self.hashes: list[np.ndarray] = []
+        self.more: list[np.ndarray] = []  # eight bits of a second hash
         self.docs: list[tuple[int | None, int, int, int]] = []  # id, CRC-32 and bytes of the text, windows
         self.size = 0
 
@@ -66,7 +57,9 @@ class _Chunk:
         starts, ends, counts = word_bounds(buf, off)
         at, fits = window_starts(counts, width)
         if len(at):
-            self.hashes.append(window_hashes(span_hashes(buf, starts, ends), at, width))
+            words = span_hashes(buf, starts, ends)
+            self.hashes.append(window_hashes(words, at, width))
+            self.more.append((window_hashes(mix64(words + _SECOND), at, width) >> U64(56)).astype(np.uint8))
             self.size += len(at)
         view = memoryview(np.ascontiguousarray(buf))
         edges = off.tolist()
@@ -78,9 +71,10 @@ class _Chunk:
         if not self.size:
             return []
         hashes = np.concatenate(self.hashes)
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        same = ordered[1:] == ordered[:-1]
+        sent_as = (hashes << U64(8)) | np.concatenate(self.more)  # the highest bits tell the bucket
+        order = np.argsort(sent_as, kind="stable")
+        ordered, whole = sent_as[order], hashes[order]
+        same = (ordered[1:] == ordered[:-1]) & (whole[1:] == whole[:-1])
         again = np.zeros(len(ordered), bool)
         again[1:] = same
         met = again.copy()
@@ -94,13 +88,13 @@ class _Chunk:
         if len(own):
             out.append((number % (1 << 31), number, _OWN, None, packed_gaps(own)))
         places = np.flatnonzero(sent)
-        hashes = hashes[places]
+        hashes, sent_as = hashes[places], sent_as[places]
         bucket = (((hashes >> U64(40)) * U64(buckets)) >> U64(24)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             which = order[edges[b] : edges[b + 1]]
-            out.append((b, number, _HASHES, packed_hashes(hashes[which]), packed_gaps(places[which])))
+            out.append((b, number, _HASHES, sent_as[which].astype("<u8").tobytes(), packed_gaps(places[which])))
         return out
 
 
@@ -148,14 +142,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(through, _NAMES, _KINDS)
     while by_bucket:
         key, rows = by_bucket.popitem()
-        all_hashes = unpacked_hashes(b"".join(r[1] for r in rows))
+        all_hashes = np.frombuffer(b"".join(r[1] for r in rows), "<u8")
         ordered = np.sort(all_hashes)
         repeated = distinct(ordered[1:][ordered[1:] == ordered[:-1]])
         if not len(repeated):
             continue
         at = np.minimum(np.searchsorted(repeated, all_hashes), len(repeated) - 1)
         hit = repeated[at] == all_hashes
-        edges = np.cumsum([0, *(len(r[1]) // 7 for r in rows)])
+        edges = np.cumsum([0, *(len(r[1]) // 8 for r in rows)])
         out = []
         for (chunk, _, places), a, b in zip(rows, edges[:-1], edges[1:], strict=True):
             if hit[a:b].any():
@@ -240,7 +234,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
 
     A window is repeated if its word sequence starts anywhere else, in the same document too; rows with equal ids
     are documents of their own.  Words are parted by the space and U+0009 to U+000D.  A null or empty text has no
-    words.  Other columns of docs are left out.  Hashes of 64 bits decide.
+    words.  Other columns of docs are left out.  Hashes decide: 64 bits and those of the bucket, which are 24 once the input
+    needs so many, so among the windows of 100 TB less than one pair is expected to agree by chance.
     """
     plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 

@@ -460,8 +460,18 @@ def test_repeated_windows_against_counting(spark, empty, monkeypatch):
 def test_packed_numbers():
     places = np.array([0, 1, 254, 255, 600, 1_000_000, 1_000_001])
     assert substring.unpacked_gaps(substring.packed_gaps(places)).tolist() == places.tolist()
-    some = np.array([1, 2**56 - 1, 12345], np.uint64)
-    assert substring.unpacked_hashes(substring.packed_hashes(some)).tolist() == some.tolist()
+
+
+def test_windows_that_differ_in_a_word_that_hashes_alike(spark):
+    """Words that agree in polynomial hashes don't make windows equal; a word and a text longer than a slice are whole."""
+    a, b = thue_morse(1024, "a", "b")
+    rest = " ".join(f"w{k}" for k in range(40))
+    long = "z" * (3 << 20)
+    texts = [f"{a} {rest}", f"{b} {rest}", f"{long} {rest}x", " ".join(f"v{k % 70000}" for k in range(400_000))]
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[0].kept, got[1].kept) == (a, b) and got[0].n_removed == 40
+    assert got[2].kept == f"{long} w39x" and got[2].n_removed == 39
+    assert got[3].n_removed == 400_000 and got[3].kept == ""
 
 
 # 8
