@@ -38,9 +38,9 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "zstd", level: int = 3) -> DataFrame:
     """df written as a table in the shared folder and read from there: its lineage is cut, and lost executors lose nothing."""
     spark = bounded(df.sparkSession)
     path = fresh_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
