@@ -37,7 +37,8 @@ def escaped(text: Column) -> Column:
             .otherwise(F.concat(F.lit("\\U"), _hex(cp, 8)))
         )
 
-    return F.array_join(F.transform(chars(text), one), "")
+    # only what lies outside plain runs is looked at by itself
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"[ -\[\]-~]++|(?s:.)"), F.lit(0)), lambda p: F.when(F.length(p) > 1, p).otherwise(one(p))), "")
 
 
 def display_escaped(text: Column) -> Column:
@@ -54,7 +55,9 @@ def display_escaped(text: Column) -> Column:
             .otherwise(F.concat(F.lit("\\u{"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")), F.lit("}")))
         )
 
-    return F.array_join(F.transform(chars(text), one), "")
+    parts = F.regexp_extract_all(text, F.lit(r"[\n -\[\]-~]++|(?s:.)"), F.lit(0))
+    shown = F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 1, p).otherwise(one(p))), "")
+    return F.when(text.rlike(r"[^\n -\[\]-~]"), shown).otherwise(text)
 
 
 def period(sequence: Column) -> Column:

@@ -2,54 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarium.operators.reveal import hunks
+from scalarium.functions import strings
+from scalarium.operators.reveal import _regions_of, lines, rendered
 
-NO_NEWLINE = "\\ No newline at end of file"
+#: Names of the two sides of a faithful diff and of one for display.
+FAITHFUL, DISPLAY = ("a/decoded.txt", "b/revealed.txt"), ("a/escaped-decoded.txt", "b/escaped-revealed.txt")
 
 
-def _lines(column: str):
-    """Lines without the empty one after a last line feed."""
-    parts = F.split(column, "\n")
-    return F.when(F.col(column) == "", F.array().cast("array<string>")).when(F.col(column).endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+def _prefixed(mark: str, some: Column, start: Column, end: Column) -> Column:
+    return F.transform(F.slice(some, start + 1, end - start), lambda x: F.concat(F.lit(mark), x))
 
 
-def unified(pairs: DataFrame, before: str = "source", after: str = "revealed", context: int = 3) -> DataFrame:
+def _hunk(a: Column, b: Column, h: Column) -> Column:
+    """A region as text: the lines around and between its runs, and of each run the old lines and then the new ones."""
+    runs = h["runs"]
+    body = F.flatten(
+        F.transform(
+            runs,
+            lambda r, j: F.concat(
+                _prefixed(" ", a, F.when(j == 0, h["start"]).otherwise(F.get(runs, j - 1)["e"]), r["s"]),
+                _prefixed("-", a, r["s"], F.least(r["e"], F.size(a))),
+                _prefixed("+", b, r["s"], F.least(r["e"], F.size(b))),
+            ),
+        )
+    )
+    body = F.concat(body, _prefixed(" ", a, F.element_at(runs, -1)["e"], F.greatest(h["end"], F.element_at(runs, -1)["e"])))
+    size = lambda x: F.greatest(F.least(h["end"], F.size(x)) - h["start"], F.lit(0))
+    head = lambda x: F.concat(F.when(size(x) == 0, h["start"]).otherwise(h["start"] + 1), F.lit(","), size(x))
+    return F.concat(F.lit("@@ -"), head(a), F.lit(" +"), head(b), F.lit(" @@\n"), F.array_join(body, "\n"), F.lit("\n"))
+
+
+def unified(pairs: DataFrame, names: tuple[str, str] = FAITHFUL, context: int = 3) -> DataFrame:
     """doc_id, diff: a unified diff of each pair (doc_id, before, after), empty if both are equal.
 
     Lines are compared by position when both sides have as many, in regions with context; else everything is one
-    region.  A region's changed lines that follow one another stand together, the old ones first.
+    region.  A region's changed lines that follow one another stand together, the old ones first.  All in the row.
     """
-    rows = pairs.select("doc_id", "before", "after").withColumns({"a": _lines("before"), "b": _lines("after")})
-    regions = hunks(pairs.select("doc_id", "before", "after"), context)
-    body = regions.join(rows, "doc_id").filter("before <> after")
-    at, to = F.col("start") - 1, F.col("end")
-
-    def tail(text: str, lines: str, k):
-        return F.when((k == F.size(lines) - 1) & ~F.col(text).endswith("\n"), F.array(F.lit(NO_NEWLINE))).otherwise(F.array().cast("array<string>"))
-
-    def step(s, k):
-        k = k.cast("int")
-        old = F.concat(F.array(F.concat(F.lit("-"), F.get(F.col("a"), k))), tail("before", "a", k))
-        new = F.concat(F.array(F.concat(F.lit("+"), F.get(F.col("b"), k))), tail("after", "b", k))
-        none = F.array().cast("array<string>")
-        old = F.when(k < F.size("a"), old).otherwise(none)
-        new = F.when(k < F.size("b"), new).otherwise(none)
-        same = (F.size("a") == F.size("b")) & F.coalesce(F.get(F.col("a"), k) == F.get(F.col("b"), k), F.lit(False))
-        kept = F.concat(F.array(F.concat(F.lit(" "), F.get(F.col("a"), k))), tail("before", "a", k))
-        return F.struct(
-            F.when(same, F.concat(s["out"], s["old"], s["new"], kept)).otherwise(s["out"]).alias("out"),
-            F.when(same, none).otherwise(F.concat(s["old"], old)).alias("old"),
-            F.when(same, none).otherwise(F.concat(s["new"], new)).alias("new"),
-        )
-
-    none = F.array().cast("array<string>")
-    lines = F.aggregate(F.sequence(at, F.greatest(at, F.least(to, F.greatest(F.size("a"), F.size("b")).cast("long")) - 1)), F.struct(none.alias("out"), none.alias("old"), none.alias("new")), step, lambda s: F.concat(s["out"], s["old"], s["new"]))
-    size = lambda c: F.greatest(F.least(to, F.size(c)) - at, F.lit(0))
-    head = lambda c: F.concat(F.when(size(c) == 0, at).otherwise(at + 1), F.lit(","), size(c))
-    text = F.concat(F.lit("@@ -"), head("a"), F.lit(" +"), head("b"), F.lit(" @@\n"), F.array_join(lines, "\n"), F.lit("\n"))
-    told = body.select("doc_id", "start", text.alias("hunk")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "hunk"))), lambda h: h["hunk"]), "").alias("hunks"))
-    made = pairs.select("doc_id").join(told, "doc_id", "left")
-    return made.select("doc_id", F.when(F.col("hunks").isNull(), "").otherwise(F.concat(F.lit(f"--- {before}\n+++ {after}\n"), F.col("hunks"))).alias("diff"))
+    both = F.array(F.struct(lines(F.col("before")).alias("a"), lines(F.col("after")).alias("b")))
+    text = F.transform(both, lambda p: F.array_join(F.transform(_regions_of(p["a"], p["b"], context), lambda h: _hunk(p["a"], p["b"], h)), ""))[0]
+    head = F.lit(f"--- {names[0]}\n+++ {names[1]}\n")
+    return pairs.select("doc_id", F.when(F.col("before") == F.col("after"), "").otherwise(F.concat(head, text)).alias("diff"))
+
+
+def compared(texts: DataFrame) -> DataFrame:
+    """doc_id, faithful, display: the diff of each text and its rendering, and that of both in their ASCII form."""
+    pairs = texts.select("doc_id", F.col("text").alias("before"), rendered(F.col("text")).alias("after"))
+    faithful = unified(pairs).withColumnRenamed("diff", "faithful")
+    escaped = pairs.select("doc_id", *(strings.display_escaped(F.col(c)).alias(c) for c in ("before", "after")))
+    display = unified(escaped, DISPLAY).withColumnRenamed("diff", "display")
+    return faithful.join(display, "doc_id")
