@@ -6,6 +6,8 @@ small table that is broadcast (its size doesn't depend on the data).
 
 from __future__ import annotations
 
+import itertools
+import json
 import unicodedata
 from functools import cache
 
@@ -72,9 +74,23 @@ def kind_rows() -> tuple[tuple[int, str, str, str], ...]:
     return tuple((cp, k, category(cp), name(cp, "UNNAMED CONTROL")) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and (k := kind_of(cp)))
 
 
+@cache
+def _json(table: str) -> str:
+    return json.dumps(_TABLES[table][0]())
+
+
+def _constant(spark: SparkSession, table: str) -> DataFrame:
+    """A table of fixed size, to be broadcast; it stands in the plan as a constant, so no task has to send it."""
+    schema = _TABLES[table][1]
+    names = [x.split()[0] for x in schema.split(", ")]
+    values = F.from_json(F.lit(_json(table)), "array<array<string>>")
+    each = spark.range(1).select(F.explode(values).alias("r"))
+    return F.broadcast(each.select(*(F.col("r")[k].cast(x.split()[1]).alias(n) for k, (n, x) in enumerate(zip(names, schema.split(", "), strict=True)))))
+
+
 def kinds(spark: SparkSession) -> DataFrame:
     """cp, kind, category, name: about three thousand rows, to be broadcast."""
-    return F.broadcast(spark.createDataFrame(list(kind_rows()), "cp int, kind string, category string, name string"))
+    return _constant(spark, "kinds")
 
 
 def ranges(points: list[int]) -> list[tuple[int, int]]:
@@ -88,14 +104,22 @@ def ranges(points: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+#: Where the parts of an expression's character class begin: characters of one part aren't held against ranges of another.
+_PARTS = (0x80, 0x100, 0x300, 0x370, 0x600, 0xC00, 0x1400, 0x2000, 0x2070, 0x3000, 0xA000, 0xD800, 0x10000, 0x12000, 0x1F000, 0x20000, 0xE0000, 0x110000)
+
+
 def java_class(points: list[int], negated: bool = False) -> str:
     """A Java regular expression of one character of these code points.
 
-    Those beyond ASCII stand in an intersection, so an ASCII character isn't held against hundreds of ranges.
+    Those beyond ASCII stand in intersections with a part of the code space each, so a character is held against the parts
+    and the ranges of its own, not against hundreds of ranges.
     """
     told = lambda some: "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges(some))
-    low, high = [p for p in points if p < 0x80], [p for p in points if p >= 0x80]
-    return "[" + "^" * negated + told(low) + (f"[\\x{{80}}-\\x{{10FFFF}}&&[{told(high)}]]" if high else "") + "]"
+    out = told([p for p in points if p < 0x80])
+    for first, end in itertools.pairwise(_PARTS):
+        if own := [p for p in points if first <= p < end]:
+            out += f"[\\x{{{first:X}}}-\\x{{{end - 1:X}}}&&[{told(own)}]]"
+    return "[" + "^" * negated + out + "]"
 
 
 @cache
@@ -176,13 +200,47 @@ def emoji_points() -> tuple[int, ...]:
     return tuple(out)
 
 
-def emoji(spark: SparkSession) -> DataFrame:
-    """cp, name of code points with the property Emoji: about fourteen hundred rows, to be broadcast."""
-    rows = [(cp, name(cp, "NAME UNAVAILABLE IN RUNTIME UNICODE DATABASE")) for cp in emoji_points()]
-    return F.broadcast(spark.createDataFrame(rows, "cp int, name string"))
+@cache
+def special_class() -> str:
+    """What one character that has a kind or the property Emoji matches, to stand between brackets; bases of keycaps aside."""
+    return java_class(sorted({cp for cp, *_ in kind_rows()} | {p for p in emoji_points() if chr(p) not in KEYCAP_BASES}))[1:-1]
+
+
+def _special_rows() -> list[tuple]:
+    rows = {cp: (cp, kind, title, False) for cp, kind, _, title in kind_rows()}
+    for cp in emoji_points():
+        rows[cp] = (cp, rows[cp][1] if cp in rows else None, name(cp, "NAME UNAVAILABLE IN RUNTIME UNICODE DATABASE"), True)
+    return sorted(rows.values(), key=lambda r: r[0])
+
+
+def specials(spark: SparkSession) -> DataFrame:
+    """cp, kind (null without one), name, is_emoji: about four thousand rows, to be broadcast."""
+    return _constant(spark, "specials")
+
+
+def changes_in_nfkc(cp: int) -> bool:
+    return not unicodedata.is_normalized("NFKC", chr(cp))
+
+
+@cache
+def unstable_class() -> str:
+    """Matches a character that a normal form may change or that may change with the one before it: a text without any is in all normal forms."""
+    second = {ord(d[-1]) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and len(d := unicodedata.normalize("NFD", chr(cp))) > 1}
+    jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    return java_class([cp for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and (cp in second or cp in jamo or unicodedata.combining(chr(cp)) or not unicodedata.is_normalized("NFKC", chr(cp)) or not unicodedata.is_normalized("NFC", chr(cp)))])
 
 
 def scripts(spark: SparkSession) -> DataFrame:
     """cp, script (the first word of its name) of letters: to be broadcast."""
-    rows = [(cp, name(cp, "").split(" ")[0]) for cp in word_points() if is_letter(cp) and not (0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7A4 or 0x17000 <= cp < 0x18D09 or 0x20000 <= cp < 0x323B0)]
-    return F.broadcast(spark.createDataFrame(rows, "cp int, script string"))
+    return _constant(spark, "scripts")
+
+
+def _script_rows() -> list[tuple]:
+    return [(cp, name(cp, "").split(" ")[0]) for cp in word_points() if is_letter(cp) and not (0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7A4 or 0x17000 <= cp < 0x18D09 or 0x20000 <= cp < 0x323B0)]
+
+
+_TABLES = {
+    "kinds": (kind_rows, "cp int, kind string, category string, name string"),
+    "specials": (_special_rows, "cp int, kind string, name string, is_emoji boolean"),
+    "scripts": (_script_rows, "cp int, script string"),
+}

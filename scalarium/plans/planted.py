@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scalarium.sources.tables import documents
+
 _ZW = "​‌"
 TAILS = [
     " zero​width‌ join‍ed",
@@ -46,11 +48,11 @@ def _sql_text(s: str) -> str:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text of all documents with what is planted in them, and bom and encoding as a file's would be."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     which = F.pmod("doc_id", F.lit(len(TAILS)))
     tail = F.element_at(F.array(*map(F.lit, TAILS)), (which + 1).cast("int"))
     marked = which == MARKED
-    text = F.concat(F.when(marked, MARK).otherwise(""), F.coalesce("text", F.lit("")), tail)
+    text = F.concat(F.when(marked, MARK).otherwise(""), "text", tail)
     return docs.select("doc_id", text.alias("text"), F.when(marked, "efbbbf").alias("bom"), F.lit("utf-8").alias("encoding"))
 
 

@@ -11,6 +11,7 @@ from scalarium.functions import characters, strings
 from scalarium.operators import detectors, scalars
 from scalarium.operators import findings as found_in
 from scalarium.plans import planted
+from scalarium.sources.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,9 +194,23 @@ def first8_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("character_offset", F.col("character_offset").cast("long"))
 
 
-_FINDINGS_SQL = (
-    _INVENTORY_SQL + f", found as (select doc_id, 'unicode.' || kind as id, {_SEVERITY_SQL} as severity, 'unicode' as category, positions from inventory)"
-)
+#: Characters that compatibility forms change; with NFC this tells whether NFKC changes a text.
+_COMPATIBLE = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in characters.ranges([cp for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and characters.changes_in_nfkc(cp)])) + "]"
+_RULES_SQL = {
+    "unicode_inventory": ("'unicode.' || kind", "severity", "'unicode'"),
+    "emoji_inventory": ("'unicode.emoji'", "'LOW'", "'unicode'"),
+    "bom_findings": ("'text.bom'", "'INFO'", "'document_structure'"),
+    "embedded_bom": ("'text.embedded_bom'", "'LOW'", "'document_structure'"),
+    "mixed_script_tokens": ("'text.mixed_script'", "'LOW'", "'unicode'"),
+    "zero_width_binary": ("'pattern.zero_width_binary'", "'HIGH'", "'possible_steganography'"),
+    "kind_runs": ("id", "'MEDIUM'", "'possible_steganography'"),
+    "periodic_insertion": ("'pattern.periodic_insertion'", "'MEDIUM'", "'possible_steganography'"),
+    "uuid_identifiers": ("'identifier.uuid'", "'MEDIUM'", "'identifier'"),
+    "provenance_markers": ("'provenance.text_marker'", "'LOW'", "'provenance'"),
+    "encoded_candidates": ("'text.encoded_candidate'", "'INFO'", "'embedded_content'"),
+}
+_FINDINGS_SQL = "found as (" + " union all ".join([f"select doc_id, {rule} as id, {severity} as severity, {category} as category from ({ORACLE_SQL[name]})" for name, (rule, severity, category) in _RULES_SQL.items()] + [f"select doc_id, 'text.line_endings', 'LOW', 'document_structure' from ({ORACLE_SQL['line_endings']}) where mixed", f"select doc_id, 'unicode.normalization', 'INFO', 'unicode' from (with {planted.SQL} select doc_id from texts where nfc_normalize(text) <> text or regexp_matches(text, '{_COMPATIBLE}'))"]) + ")"
+_UNPLANTED_SQL = _FINDINGS_SQL.replace(planted.SQL, "texts as (select doc_id, coalesce(text, '') as text, cast(null as varchar) as bom from documents)")
 
 
 @query(
@@ -219,38 +234,46 @@ def top_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {_FINDINGS_SQL}, placed as (select doc_id, id, positions, row_number() over (partition by doc_id order by case severity when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end desc, id, '[' || positions || ']') - 1 as k from found) "
-    "select doc_id, id, positions, 'finding/' || k as finding_ref from placed"
+    f"with {_INVENTORY_SQL}, bytes as (select doc_id, cp, string_agg(cast(strlen(substr(text, 1, pos)) as varchar), ',' order by pos) as byte_offsets from hits join texts using (doc_id) group by doc_id, cp), "
+    f"placed as (select doc_id, 'unicode.' || kind as id, positions, byte_offsets, row_number() over (partition by doc_id order by case {_SEVERITY_SQL} when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end desc, kind, '[' || byte_offsets || ']') - 1 as k from inventory join bytes using (doc_id, cp)) "
+    "select doc_id, id, positions, byte_offsets, 'finding/' || k as finding_ref from placed"
 )
 def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found_in.ordered_ranks(detectors.unicode_kinds(planted.texts(spark, sf_dir)))
-    return rows.select("doc_id", "id", joined(), "finding_ref")
+    return rows.select("doc_id", "id", joined(), joined("byte_offsets"), "finding_ref")
 
 
 def _by_rule(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id", "category", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("documents"))
 
 
-@query()
+_BY_RULE_SQL = "select id, category, severity, cast(count(*) as bigint) as findings, cast(count(distinct doc_id) as bigint) as documents from found {} group by id, category, severity"
+
+
+def _view_sql(view: str) -> str:
+    return f"with {_FINDINGS_SQL} " + _BY_RULE_SQL.format(f"where category in ({', '.join(repr(c) for c in found_in.VIEWS[view])})")
+
+
+@query(f"with {_FINDINGS_SQL} " + _BY_RULE_SQL.format(""))
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_rule(detectors.all_findings(planted.texts(spark, sf_dir)))
 
 
-@query()
+@query(f"with {_UNPLANTED_SQL} " + _BY_RULE_SQL.format(""))
 def unplanted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_rule(detectors.all_findings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    return _by_rule(detectors.all_findings(documents(spark, sf_dir)))
 
 
-@query()
+@query(_view_sql("unicode"))
 def view_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_rule(found_in.view(detectors.all_findings(planted.texts(spark, sf_dir)), "unicode"))
 
 
-@query()
+@query(_view_sql("metadata"))
 def view_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_rule(found_in.view(detectors.all_findings(planted.texts(spark, sf_dir)), "metadata"))
 
 
-@query()
+@query(_view_sql("structure"))
 def view_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_rule(found_in.view(detectors.all_findings(planted.texts(spark, sf_dir)), "structure"))

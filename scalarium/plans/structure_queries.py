@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scalarium.functions import identity, strings
+from scalarium.functions import characters, identity, strings
 from scalarium.operators import assembly, diffs, evidence, packaging, profiles, reveal
 from scalarium.operators import findings as found_in
 from scalarium.plans import corpus, planted, reports
-from scalarium.plans.queries import _FINDINGS_SQL, _KINDS_SQL, ORACLE_SQL, QUERIES, joined, query
+from scalarium.plans.queries import _EMOJI_SQL, _FINDINGS_SQL, _KINDS_SQL, ORACLE_SQL, QUERIES, joined, query
 from scalarium.sources import decode, office, sinks, workspace
 
 
@@ -47,7 +47,7 @@ def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.parsed(_files(spark, sf_dir)).select("doc_id", "failure_code", "mime")
 
 
-@query("select page_id, 'text' as format, case when starts_with(lower(ltrim(html)), '<!doctype html') or starts_with(lower(ltrim(html)), '<html') then 'text/html' else 'text/plain' end as mime from pages")
+@query(r"select page_id, 'text' as format, case when regexp_matches(html, '(?i)^[\x{FEFF} \t\r\n]*(<!doctype html|<html)') then 'text/html' else 'text/plain' end as mime from pages")
 def format_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", F.lit("page").alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
     return decode.identified(decode.decoded(pages)).select("page_id", "format", "mime")
@@ -111,18 +111,24 @@ def display_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reveal.display_escapes(planted.texts(spark, sf_dir)).select("doc_id", F.sha2(F.col("escaped").cast("binary"), 256).alias("escaped_sha256"))
 
 
-@query()
+_EMOJI_PARTS = _EMOJI_SQL[_EMOJI_SQL.index(", emoji_ranges") :].replace("points as", "emoji_points as").replace("from points", "from emoji_points")
+_REVEAL_SQL = _KINDS_SQL + _EMOJI_PARTS + ", shown as (select s.doc_id, s.pos, s.ch, s.cp, case when h.pos is not null or m.pos is not null then 'finding' when s.ch = chr(10214) then 'literal_marker_escape' end as reason from scalars s left join hits h on h.doc_id = s.doc_id and h.pos = s.pos left join (select distinct doc_id, pos from marked) m on m.doc_id = s.doc_id and m.pos = s.pos)"
+_NAMES_SQL = planted.sql_ranges("names", [(cp, cp, title.replace("'", "''")) for cp, title in sorted({ord(c): characters.name(ord(c), "UNNAMED CONTROL") for t in [*planted.TAILS, planted.MARK] for c in t}.items())])
+_SHOWN_SQL = "case reason when 'finding' then chr(10214) || 'U+' || lpad(hex(cp), cast(greatest(4, length(hex(cp))) as integer), '0') || ' ' || of || chr(10215) when 'literal_marker_escape' then repeat(ch, 2) else ch end"
+
+
+@query(f"with {_REVEAL_SQL}, {_NAMES_SQL}, whole as (select doc_id, string_agg({_SHOWN_SQL}, '' order by pos) as rendered from shown left join names on cp = lo group by doc_id) select doc_id, cast(length(rendered) as bigint) as length, sha256(rendered) as sha256 from whole")
 def reveal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reveal.revealed(planted.texts(spark, sf_dir)).select("doc_id", F.length("rendered").alias("length"), F.sha2(F.col("rendered").cast("binary"), 256).alias("sha256"))
+    return reveal.revealed(planted.texts(spark, sf_dir)).select("doc_id", F.length("rendered").cast("long").alias("length"), F.sha2(F.col("rendered").cast("binary"), 256).alias("sha256"))
 
 
-@query(f"with {_KINDS_SQL} select doc_id, cast(h.pos as bigint) as pos, cast(strlen(substr(text, 1, h.pos)) as bigint) as source_start, cast(strlen(substr(text, 1, h.pos + 1)) as bigint) as source_end from hits h join texts using (doc_id)")
+@query(f"with {_REVEAL_SQL} select h.doc_id, cast(h.pos as bigint) as pos, h.reason, cast(strlen(substr(text, 1, h.pos)) as bigint) as source_start, cast(strlen(substr(text, 1, h.pos + 1)) as bigint) as source_end from shown h join texts using (doc_id) where h.reason is not null")
 def reveal_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reveal.occurrences(planted.texts(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "source_start", "source_end")
+    return reveal.occurrences(planted.texts(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "reason", "source_start", "source_end")
 
 
 def _line_sql() -> str:
-    return f"with {planted.SCALARS}, lines as (select doc_id, string_split(text, chr(10)) as l from texts), each_line as (select doc_id, unnest(l) as line, unnest(range(0, len(l))) as k, len(l) as n from lines), changed as (select * from each_line where regexp_matches(line, '[^ -\\[\\]-~]') or contains(line, chr(92))), fresh as (select *, coalesce(k - lag(k) over (partition by doc_id order by k) > 6, true) as new from changed), grouped as (select *, sum(case when new then 1 else 0 end) over (partition by doc_id order by k) as hunk from fresh)"
+    return f"with {planted.SCALARS}, lines as (select doc_id, case when ends_with(text, chr(10)) then string_split(text[:-2], chr(10)) else string_split(text, chr(10)) end as l from texts), each_line as (select doc_id, unnest(l) as line, unnest(range(0, len(l))) as k, len(l) as n from lines), changed as (select * from each_line where regexp_matches(line, '[^ -\\[\\]-~]') or contains(line, chr(92))), fresh as (select *, coalesce(k - lag(k) over (partition by doc_id order by k) > 7, true) as new from changed), grouped as (select *, sum(case when new then 1 else 0 end) over (partition by doc_id order by k) as hunk from fresh)"
 
 
 @query(_line_sql() + " select doc_id, cast(greatest(min(k) - 2, 1) as bigint) as start, cast(least(max(k) + 4, max(n)) as bigint) as \"end\", cast(count(*) as bigint) as changed from grouped group by doc_id, hunk")
@@ -227,14 +233,14 @@ def _profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     facts = part.select(F.col("p_partkey").alias("rule_id"), F.explode(F.array(F.col("p_partkey") % 11, F.col("p_partkey") % 13)).alias("fact"))
     observations = customer.select(F.col("c_custkey").alias("observation_id"), F.col("c_nationkey").alias("artifact_id"), (F.col("c_custkey") % 3).alias("kind"), F.when(F.col("c_custkey") % 9 == 0, "other").otherwise("main").alias("scope"), (F.col("c_custkey") % 8 != 0).alias("complete"))
     has = orders.select(F.col("o_custkey").alias("observation_id"), (F.col("o_orderkey") % 13).alias("fact"))
-    signals = customer.select(F.col("c_custkey").alias("signal_id"), F.col("c_nationkey").alias("artifact_id"), (F.col("c_custkey") % 2 == 0).alias("mapping_complete"))
-    targets = customer.select(F.col("c_custkey").alias("signal_id"), F.col("c_custkey").alias("observation_id"))
+    signals = customer.select(F.col("c_custkey").alias("signal_id"), F.col("c_nationkey").alias("artifact_id"), ((F.col("c_custkey") % 2 == 0) | (F.col("c_nationkey") % 4 > 0)).alias("mapping_complete"))
+    targets = customer.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("signal_id"), F.col("c_custkey").alias("observation_id"))
     return rules, facts, observations, has, signals, targets
 
 
 _PROFILE_SQL = (
-    "rules as (select p_partkey as rule_id, p_partkey % 3 as kind, p_partkey % 4 as rank, case when p_partkey % 7 = 0 then 'retain' end as queue from part where p_partkey <= 60), "
-    "rule_facts as (select distinct rule_id, fact from (select p_partkey as rule_id, unnest([p_partkey % 11, p_partkey % 13]) as fact from part where p_partkey <= 60)), "
+    "rules as (select p_partkey as rule_id, p_partkey % 3 as kind, p_partkey % 4 as rank, case when p_partkey % 7 = 0 then 'retain' end as queue from part), "
+    "rule_facts as (select distinct rule_id, fact from (select p_partkey as rule_id, unnest([p_partkey % 11, p_partkey % 13]) as fact from part)), "
     "observations as (select c_custkey as observation_id, c_nationkey as artifact_id, c_custkey % 3 as kind, case when c_custkey % 9 = 0 then 'other' else 'main' end as scope, c_custkey % 8 <> 0 as complete from customer), "
     "facts as (select distinct o_custkey as observation_id, o_orderkey % 13 as fact from orders), "
     "fits as (select r.rule_id, o.observation_id, r.rank, r.queue from rules r join observations o on r.kind = o.kind where not exists (select 1 from rule_facts f where f.rule_id = r.rule_id and not exists (select 1 from facts x where x.observation_id = o.observation_id and x.fact = f.fact)))"
@@ -248,11 +254,11 @@ def profile_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {_PROFILE_SQL}, best as (select observation_id, max(rank) as rank, bool_or(coalesce(queue = 'retain', false)) as retain from fits group by observation_id), signals as (select c_custkey as id, c_nationkey as artifact_id, c_custkey % 2 = 0 as full_map from customer where c_custkey % 97 = 0), "
-    "told as (select o.*, b.rank, b.retain, o.observation_id in (select id from signals) as mapped, exists (select 1 from signals s where not s.full_map and s.artifact_id = o.artifact_id and s.id <> o.observation_id) as unmapped from observations o left join best b on b.observation_id = o.observation_id), "
-    "why as (select *, case when scope <> 'main' then 'scope_mismatch' when mapped then 'pattern_override' when unmapped then 'unmapped_signal' when not complete then 'incomplete_coverage' when rank is null then 'no_rule' else 'rule' end as reason from told), "
-    "final as (select *, case reason when 'rule' then ['expected', 'noteworthy', 'unknown', 'suspicious'][rank + 1] when 'pattern_override' then 'suspicious' else 'unknown' end as assessment from why) "
-    "select observation_id, assessment, reason, assessment = 'expected' and not coalesce(retain, false) as omit_default from final"
+    f"with {_PROFILE_SQL}, best as (select observation_id, max(rank) as rank, bool_or(coalesce(queue = 'retain', false)) as retain from fits group by observation_id), signals as (select c_custkey as id, c_nationkey as artifact_id, c_custkey % 2 = 0 or c_nationkey % 4 > 0 as full_map, c_custkey % 5 = 0 as aimed from customer), "
+    "told as (select o.*, b.rank, b.retain, o.observation_id in (select id from signals where aimed) as mapped, exists (select 1 from signals s where not s.full_map and s.artifact_id = o.artifact_id and not (s.aimed and s.id = o.observation_id)) as unmapped from observations o left join best b on b.observation_id = o.observation_id), "
+    "why as (select *, case when scope <> 'main' then 'profile_scope_mismatch' when mapped then 'pattern_override' when unmapped then 'unmapped_pattern_requires_review' when not complete then 'coverage_or_mapping_incomplete' when rank is null then 'no_matching_rule' else 'rules_matched' end as reason from told), "
+    "final as (select *, case when mapped then 'suspicious' when reason = 'rules_matched' then ['expected', 'noteworthy', 'unknown', 'suspicious'][rank + 1] else 'unknown' end as assessment from why) "
+    "select observation_id, assessment, reason, reason = 'rules_matched' and assessment = 'expected' and not coalesce(retain, false) as omit_default from final"
 )
 def profile_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.assessments("main", *_profile(spark, sf_dir))
@@ -397,7 +403,7 @@ def execution_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir)[1].select("source_id", "ref", "state")
 
 
-@query(f"with {_FINDINGS_SQL} select d.doc_id as source_id, cast(count(f.id) as bigint) as findings from documents d left join found f on d.doc_id = f.doc_id where d.doc_id % 17 not in (3, 4) group by d.doc_id")
+@query(f"with {_FINDINGS_SQL} select d.doc_id as source_id, cast(count(f.id) as bigint) as findings from documents d left join (select * from found where starts_with(id, 'unicode.') and id <> 'unicode.emoji') f on d.doc_id = f.doc_id where d.doc_id % 17 not in (3, 4) group by d.doc_id")
 def execution_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, run, found = _graph(spark, sf_dir)
     return assembly.results(run, found).filter("capability = 'analyze.unicode'").select("source_id", "findings")
@@ -412,7 +418,7 @@ def graph_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = planted.texts(spark, sf_dir)
-    return diffs.unified(texts.select("doc_id", F.col("text").alias("before"), strings.display_escaped(F.col("text")).alias("after")))
+    return diffs.compared(texts)
 
 
 @query("select o_custkey % 50 as fold_group, cast(count(*) as bigint) as n from orders group by o_custkey % 50 having count(*) > 1")

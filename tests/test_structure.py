@@ -106,7 +106,7 @@ def test_reveal_and_hunks(spark):
     df = spark.createDataFrame([(1, "a​⟦b"), (2, "plain")], "doc_id long, text string")
     assert {r.doc_id: r.rendered for r in reveal.revealed(df).collect()} == {1: "a⟦U+200B ZERO WIDTH SPACE⟧⟦⟦b", 2: "plain"}
     rows = sorted(tuple(r) for r in reveal.occurrences(df).collect())
-    assert rows == [(1, 1, "finding", 1, 4, 1, 26), (1, 2, "literal_marker_escape", 4, 7, 26, 28)]
+    assert rows == [(1, 1, "finding", "U+200B", 1, 4, 1, 30, []), (1, 2, "literal_marker_escape", "U+27E6", 4, 7, 30, 36, [])]
     lines = [str(k) for k in range(30)]
     other = [*lines]
     other[2], other[8], other[25] = "x", "y", "z"
@@ -114,6 +114,41 @@ def test_reveal_and_hunks(spark):
     assert sorted(tuple(r) for r in reveal.hunks(pairs).collect()) == [(1, 1, 12, 2), (1, 23, 29, 1), (2, 1, 2, 2)]
 
 
+def test_reveal_marks_what_findings_about_characters_mark(spark):
+    """Emoji and keycaps too, other controls and format characters by an escape, and places that other findings point at."""
+    from scalarium.operators import detectors, findings
+
+    rows = [(1, "hi \U0001f469 ok", "utf-8"), (2, "12️⃣ 3 #⃣", "utf-8"), (3, "a\u0600b\x07\tc\r\n", "utf-8"), (4, "п: author: x\n", "utf-16-le"), (5, "", "utf-8"), (6, "⟦⟧", "utf-8")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, encoding string")
+    got = {r.doc_id: r.rendered for r in reveal.revealed(df).collect()}
+    keycap = "⟦U+FE0F VARIATION SELECTOR-16⟧⟦U+20E3 COMBINING ENCLOSING KEYCAP⟧"
+    assert got == {
+        1: "hi ⟦U+1F469 WOMAN⟧ ok",
+        2: f"1⟦U+0032 DIGIT TWO⟧{keycap} 3 ⟦U+0023 NUMBER SIGN⟧⟦U+20E3 COMBINING ENCLOSING KEYCAP⟧",
+        3: "a⟦U+0600 ARABIC NUMBER SIGN⟧b⟦U+0007 UNNAMED CONTROL⟧\tc\r\n",
+        4: "п: author: x\n", 5: "", 6: "⟦⟦⟧",
+    }
+    found = findings.ordered_ranks(detectors.all_findings(df))
+    told = reveal.occurrences(df, found).collect()
+    marked = {(r.doc_id, p) for r in found.filter("id like 'unicode.%'").collect() for p in r.positions}
+    assert {(r.doc_id, r.pos) for r in told if r.reason == "finding"} == marked
+    other = next(r for r in told if r.doc_id == 4)
+    assert (other.pos, other.reason, other.source_start, other.source_end, other.rendered_start, other.rendered_end) == (3, "finding_reference", 6, 8, 4, 5)
+    assert [f.id for f in other.findings] == ["provenance.text_marker"]
+    for r in told:
+        piece = got[r.doc_id].encode()[r.rendered_start : r.rendered_end].decode()
+        assert piece == (dict((i, t) for i, t, _ in rows)[r.doc_id][r.pos] if r.reason == "finding_reference" else "⟦⟦" if r.reason == "literal_marker_escape" else piece) and (r.code_point in piece or r.reason in ("finding_reference", "literal_marker_escape"))
+
+
+def test_regions_meet_at_seven_lines(spark):
+    def changed(*at):
+        lines = [str(k) for k in range(40)]
+        return "\n".join(lines) + "\n", "\n".join("x" if k in at else x for k, x in enumerate(lines)) + "\n"
+
+    pairs = spark.createDataFrame([(1, *changed(5, 12)), (2, *changed(5, 13)), (3, *changed(39)), (4, "", "a\n")], "doc_id long, before string, after string")
+    assert sorted(tuple(r) for r in reveal.hunks(pairs).collect()) == [(1, 3, 16, 2), (2, 3, 9, 1), (2, 11, 17, 1), (3, 37, 40, 1), (4, 1, 1, 1)]
+
+
 def test_evidence_checks(spark):
     regions = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (1, 20, 30)], "source_id long, start long, end long")
     assert sorted(tuple(r) for r in evidence.merged_regions(regions).collect()) == [(1, 0, 9), (1, 20, 30)]
@@ -140,7 +175,13 @@ def test_profiles(spark):
     signals = spark.createDataFrame([(9, 2, True)], "signal_id int, artifact_id int, mapping_complete boolean")
     targets = spark.createDataFrame([(9, 6)], "signal_id int, observation_id int")
     got = {r.observation_id: (r.assessment, r.reason, r.omit_default) for r in profiles.assessments("main", rules, facts, obs, has, signals, targets).collect()}
-    assert got == {1: ("expected", "rule", True), 2: ("noteworthy", "rule", False), 3: ("unknown", "no_rule", False), 4: ("unknown", "incomplete_coverage", False), 5: ("unknown", "scope_mismatch", False), 6: ("suspicious", "pattern_override", False)}
+    assert got == {1: ("expected", "rules_matched", True), 2: ("noteworthy", "rules_matched", False), 3: ("unknown", "no_matching_rule", False), 4: ("unknown", "coverage_or_mapping_incomplete", False), 5: ("unknown", "profile_scope_mismatch", False), 6: ("suspicious", "pattern_override", False)}
+    # a mapped signal makes an observation of another scope suspicious; the reason stays that of the scope
+    more = targets.unionByName(spark.createDataFrame([(10, 5)], "signal_id int, observation_id int"))
+    got = {r.observation_id: tuple(r)[1:] for r in profiles.assessments("main", rules, facts, obs.withColumn("exact", F.col("observation_id") != 1), has, signals.unionByName(spark.createDataFrame([(10, 1, False)], signals.schema)), more).collect()}
+    assert got[5] == ("suspicious", "profile_scope_mismatch", False) and got[1] == ("unknown", "unmapped_pattern_requires_review", False)
+    got = {r.observation_id: tuple(r)[1:] for r in profiles.assessments("main", rules, facts, obs.withColumn("exact", F.col("observation_id") != 1), has, signals, targets).collect()}
+    assert got[1] == ("unknown", "coverage_or_mapping_incomplete", False)
 
 
 def test_manifest_membership(spark):
@@ -188,7 +229,7 @@ def test_unified_diffs(spark):
     other = [*lines]
     other[3], other[4], other[15] = "x", "y", "z"
     rows = [(1, "\n".join(lines) + "\n", "\n".join(other) + "\n"), (2, "same", "same"), (3, "a\nb\n", "a\nc"), (4, "a", "a\nb\n")]
-    got = {r.doc_id: r.diff for r in diffs.unified(spark.createDataFrame(rows, "doc_id long, before string, after string")).collect()}
+    got = {r.doc_id: r.diff for r in diffs.unified(spark.createDataFrame(rows, "doc_id long, before string, after string"), ("source", "revealed")).collect()}
     want = "".join(difflib.unified_diff([x + "\n" for x in lines], [x + "\n" for x in other], "source", "revealed"))
     assert got[1].replace("\t", "") == want.replace("\t", "") and got[2] == ""
     assert got[3].endswith("-b\n+c\n\\ No newline at end of file\n")
@@ -279,7 +320,15 @@ def test_profile_queries_take_every_part_and_customer(spark, tmp_path):
     got = sorted(tuple(r) for r in entry.queries()["profile_rule_match"](spark, str(tmp_path)).collect())
     assert got == want and any(p > 60 for p, _ in want)
     told = {r.observation_id: (r.assessment, r.reason) for r in entry.queries()["profile_assessments"](spark, str(tmp_path)).collect()}
-    assert told == {c: ("unknown", "scope_mismatch") if c % 9 == 0 else ("suspicious", "pattern_override") for c, _ in customers}
+    open_ = {n: {c for c, of in customers if of == n and not (c % 2 == 0 or n % 4 > 0)} for n in range(4)}
+    names = ["expected", "noteworthy", "unknown", "suspicious"]
+    for c, n in customers:
+        mapped = c % 5 == 0
+        unmapped = bool(open_[n] - ({c} if mapped else set()))
+        ranks = [p % 4 for p, o in want if o == c]
+        reason = "profile_scope_mismatch" if c % 9 == 0 else "pattern_override" if mapped else "unmapped_pattern_requires_review" if unmapped else "coverage_or_mapping_incomplete" if c % 8 == 0 else "rules_matched" if ranks else "no_matching_rule"
+        assert told[c] == ("suspicious" if mapped else names[max(ranks)] if reason == "rules_matched" else "unknown", reason)
+    assert len({reason for _, reason in told.values()}) >= 5
 
 
 def test_rules_of_one_pattern(spark):
