@@ -54,12 +54,13 @@ def digested(lines: DataFrame) -> DataFrame:
 
 
 def within_budget(lines: DataFrame, keys: list[str], size: Column, budget: int = OUTPUT_BYTES) -> DataFrame:
-    """Adds upto, the bytes of all lines so far in order, and fits.
+    """Adds upto, the bytes of all lines so far in the order of the keys (nulls first), and fits.
 
-    The running sum is taken within blocks of rows and added to what the blocks before hold, so no task gets all rows.
+    Lines are dealt by ranges of the keys; the running sum is taken within a range and added to what the ranges before
+    hold, so no task gets all rows.  Where ranges end depends on a sample, so the dealt rows are checkpointed.
     """
-    rows = lines.withColumns({"_size": size.cast("long"), "_block": F.floor(F.col(keys[0]) / 4096)})
-    blocks = rows.groupBy("_block").agg(F.sum("_size").alias("_sum"))
+    rows = lines.withColumn("_size", size.cast("long")).repartitionByRange(*keys).withColumn("_block", F.spark_partition_id()).checkpoint()
+    blocks = rows.groupBy("_block").agg(F.sum("_size").alias("_sum"))  # a row for each partition
     before = blocks.withColumn("_before", F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).select("_block", F.coalesce("_before", F.lit(0)).alias("_before"))
     within = F.sum("_size").over(Window.partitionBy("_block").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_in", within).join(before, "_block").withColumn("upto", F.col("_in") + F.col("_before")).withColumn("fits", F.col("upto") <= budget).drop("_size", "_block", "_in", "_before")
+    return rows.withColumn("_in", within).join(F.broadcast(before), "_block").withColumn("upto", F.col("_in") + F.col("_before")).withColumn("fits", F.col("upto") <= budget).drop("_size", "_block", "_in", "_before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,8 +108,8 @@ _GAPS_SQL = planted.SCALARS + ", marks as (select doc_id, pos, cp, ch, pos - lag
 
 
 @query(
-    f"with {_GAPS_SQL}, s as (select doc_id, count(*) as n, count(*) filter (where cp = 8203) as zwsp, count(*) filter (where cp = 8204) as zwnj, avg(case when gap = 1 then 1.0 when gap is not null then 0.0 end) as f, min(gap) = max(gap) as same from marks group by doc_id) "
-    "select doc_id, cast(n as bigint) as count, cast(zwsp as bigint) as zwsp, cast(zwnj as bigint) as zwnj, round(cast(f as double), 6) as adjacent_fraction, same as constant_spacing, cast(4 as bigint) as sequence_period from s where n >= 32 and least(zwsp, zwnj) > 0 and least(zwsp, zwnj) / n >= 0.1 and (f >= 0.75 or same)"
+    f"with {_GAPS_SQL}, s as (select doc_id, count(*) as n, count(*) filter (where cp = 8203) as zwsp, count(*) filter (where cp = 8204) as zwnj, avg(case when gap = 1 then 1.0 when gap is not null then 0.0 end) as f, min(gap) = max(gap) as same, string_agg(ch, '' order by pos) as q from marks group by doc_id) "
+    "select doc_id, cast(n as bigint) as count, cast(zwsp as bigint) as zwsp, cast(zwnj as bigint) as zwnj, round(cast(f as double), 6) as adjacent_fraction, same as constant_spacing, (select cast(min(p) as bigint) from range(1, 33) r(p) where p <= n // 3 and substr(q, cast(p + 1 as bigint), cast(n - p as bigint)) = substr(q, 1, cast(n - p as bigint))) as sequence_period from s where n >= 32 and least(zwsp, zwnj) > 0 and least(zwsp, zwnj) / n >= 0.1 and (f >= 0.75 or same)"
 )
 def zero_width_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k, t: F.get_json_object("evidence", f"$.{k}").cast(t)
@@ -175,7 +176,14 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "raw_text_sha256", "nfc_text_sha256", "nfc_changed", "formatting_removed_sha256", F.col("formatting_removed_count").cast("long").alias("formatting_removed_count"))
 
 
-@query()
+def _nfkc_sql(text: str) -> str:
+    """NFKC of the planted texts: their few characters that compatibility forms change, and NFC."""
+    for c in sorted({c for t in planted.TAILS for c in t if characters.changes_in_nfkc(ord(c))}):
+        text = f"replace({text}, chr({ord(c)}), {planted._sql_text(unicodedata.normalize('NFKC', c))})"
+    return f"nfc_normalize({text})"
+
+
+@query(f"with {planted.SQL}, forms as (select doc_id, text, {_nfkc_sql('text')} as nfkc from texts) select doc_id, sha256(nfkc) as nfkc_text_sha256, nfkc <> text as nfkc_changed from forms")
 def nfkc_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.text_hashes(planted.texts(spark, sf_dir)).select("doc_id", "nfkc_text_sha256", "nfkc_changed")
 

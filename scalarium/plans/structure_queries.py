@@ -13,7 +13,7 @@ from scalarium.operators import assembly, diffs, evidence, packaging, profiles,
 from scalarium.operators import findings as found_in
 from scalarium.plans import corpus, planted, reports
 from scalarium.plans.queries import _EMOJI_SQL, _FINDINGS_SQL, _KINDS_SQL, ORACLE_SQL, QUERIES, joined, query
-from scalarium.sources import decode, office, sinks, workspace
+from scalarium.sources import decode, sinks, workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -328,53 +328,6 @@ def manifest_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packaging.manifest_membership(manifest, parts)
 
 
-def _office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Word package for each conversation's first turns: paragraphs are their texts."""
-    turns = _table(spark, sf_dir, "conversations").filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
-    texts = F.transform("turns", lambda t: F.coalesce(t["text"], F.lit("")))
-
-    def run(batches):
-        import io
-        import zipfile
-        from xml.sax.saxutils import escape
-
-        import pandas as pd
-
-        word = next(iter(office.WORD))
-        for batch in batches:
-            made = []
-            for told in batch.texts:
-                body = "".join(f"<w:p><w:r><w:t xml:space='preserve'>{escape(t)}</w:t></w:r></w:p>" for t in told)
-                files = {
-                    "[Content_Types].xml": f"<Types xmlns='{office.TYPES}'><Default Extension='rels' ContentType='application/vnd.openxmlformats-package.relationships+xml'/><Override PartName='/word/document.xml' ContentType='{office.MAIN_TYPE}'/></Types>",
-                    "_rels/.rels": f"<Relationships xmlns='{office.RELATIONSHIPS}'><Relationship Id='r1' Type='{office.MAIN_RELATION[0]}' Target='word/document.xml'/></Relationships>",
-                    "word/document.xml": f"<w:document xmlns:w='{word}'><w:body>{body}</w:body></w:document>",
-                }
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    for name, data in files.items():
-                        z.writestr(zipfile.ZipInfo(name), data)
-                made.append(buffer.getvalue())
-            yield pd.DataFrame({"source_id": batch.source_id, "content": made})
-
-    return turns.select(F.col("conv_id").alias("source_id"), texts.alias("texts")).mapInPandas(run, "source_id long, content binary")
-
-
-@query("select conv_id as source_id, cast(row_number() over (partition by conv_id order by turn, text) - 1 as bigint) as scope, 'main' as story, 'text' as role, sha256(text) as text_sha256 from conversations where text <> ''")
-def docx_text_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = office.parts(_office_files(spark, sf_dir)).filter("name = 'word/document.xml'")
-    rows = office.docx_scopes(parts)
-    return rows.select("source_id", F.col("scope").cast("long").alias("scope"), "story", "role", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-
-
-@query("select distinct conv_id as source_id, 'word/document.xml' as part, 'transitional' as variant, cast(null as varchar) as code from conversations")
-def docx_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scalarium.sources.packages import tokens
-
-    parts = office.parts(_office_files(spark, sf_dir))
-    return office.identified_docx(parts, tokens(parts.filter(F.col("name").rlike(r"(\.xml|\.rels)$"))))
-
-
 @query("with runs as (select event_id, user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as island from events) select user_id, event_type, cast(count(*) as bigint) as length, cast(count(distinct island) as bigint) as runs from runs group by user_id, event_type")
 def run_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
@@ -409,10 +362,32 @@ def execution_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.results(run, found).filter("capability = 'analyze.unicode'").select("source_id", "findings")
 
 
-@query("select cast(null as bigint) as source_id, cast(null as varchar) as problem where false")
+@query(
+    "with told as (select doc_id as source_id, doc_id % 17 not in (3, 4) as good from documents) "
+    "select source_id, 'artifact.parent' as problem from told where good and source_id % 11 = 0 union all "
+    "select source_id, 'artifact.repeated' from told where source_id % 13 = 0 and source_id % 11 <> 0 union all "
+    "select source_id, 'execution.repeated' from told where source_id % 19 = 5 union all "
+    "select source_id, 'anchor.outside' from told where good and source_id % 16 = 2"
+)
 def graph_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks find in a graph that was broken: sources without their bytes, repeated rows, spans moved behind the text."""
     parsed, run, found = _graph(spark, sf_dir)
-    return assembly.problems(run, assembly.artifacts(parsed), assembly.anchors(found), parsed.filter("failure_code is null"))
+    at = lambda n: F.pmod("source_id", F.lit(n))
+    made = assembly.artifacts(parsed)
+    source = F.col("ref") == "artifact/0"
+    made = made.filter(~(source & (at(11) == 0))).unionByName(made.filter(source & (at(13) == 0) & (at(11) != 0)))
+    run = run.unionByName(run.filter((F.col("ref") == "exec/2") & (at(19) == 5)))
+    moved = F.when(at(16) == 2, 1 << 24).otherwise(0)
+    spans = assembly.anchors(found).withColumns({"start": F.col("start") + moved, "end": F.col("end") + moved})
+    return assembly.problems(run, made, spans, parsed.filter("failure_code is null"))
+
+
+@query("select doc_id from documents where doc_id % 5 <> 3 and (doc_id % 3 = 0 or doc_id % 7 = 0)")
+def unverified_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose claimed text isn't what their bytes decode to: some claims are longer, some missing."""
+    files = decode.decoded(_files(spark, sf_dir)).filter("failure is null")
+    claim = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit(None)).when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    return decode.unverified(files.select("doc_id", "content", claim.alias("text"))).select("doc_id")
 
 
 @query()

@@ -6,9 +6,12 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from scalarium.functions import identity
 
@@ -23,9 +26,9 @@ def write_json_lines(lines: DataFrame, path: str) -> None:
 
 
 def console(found: DataFrame, most: int = 8) -> str:
-    """A report of one source's findings."""
+    """A report of one source's findings, all of them; they come to the driver a partition at a time."""
     out = []
-    for r in found.orderBy("id").limit(1000).toLocalIterator():
+    for r in found.orderBy("id").toLocalIterator():
         shown = ", ".join(map(str, r["positions"][:most])) + (", ..." if len(r["positions"]) > most else "")
         out.append(f"[{r['severity']}] {r['id']}: {r['title']}" + (f" at {shown}" if shown else ""))
     return "\n".join(out) or "no reported findings (which is no proof that there is nothing)"
@@ -53,9 +56,18 @@ def write_bundle(folder: str, files: dict[str, bytes]) -> dict:
     return {"files": told}
 
 
+def folded(path: Column) -> Column:
+    """A path as case-insensitive file systems may see it: NFC, fully case-folded, and NFC again."""
+
+    @pandas_udf("string")
+    def run(paths: pd.Series) -> pd.Series:
+        form = lambda t: unicodedata.normalize("NFC", t)
+        return paths.map(lambda t: None if t is None else form(form(t).casefold()))
+
+    ascii_only = F.octet_length(path) == F.length(path)
+    return F.when(ascii_only, F.lower(path)).otherwise(run(F.when(~ascii_only, path)))
+
+
 def colliding_paths(paths: DataFrame) -> DataFrame:
     """Paths that are equal once normalised and folded: fold, n, paths."""
-    from scalarium.functions import strings
-
-    fold = F.lower(strings.nfc(F.col("path")))
-    return paths.select("path", fold.alias("fold")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths")).filter("n > 1")
+    return paths.select("path", folded(F.col("path")).alias("fold")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("path")).alias("paths")).filter("n > 1")
