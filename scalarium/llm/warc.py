@@ -11,14 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalarium.llm.tables import fresh_path, stored
+from scalarium.llm.tables import BATCH_BYTES, bounded, fresh_path, stored
 
 RECORDS_PER_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -49,21 +48,34 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive; lengths alone say where records end."""
-    at = 0
-    while at < len(archive):
-        head = archive.index(b"\r\n\r\n", at)
-        version, *lines = archive[at:head].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        size = int(headers["content-length"])
-        block = archive[head + 4 : head + 4 + size]
-        at = head + 4 + size + 4
-        if len(block) < size or archive[at - 4 : at] != b"\r\n\r\n":
-            raise ValueError("a record is cut off")
-        yield headers, block
+def records(lines: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of archives, from their lines without CR LF; lengths alone say where records end.
+
+    No more than one record is held.
+    """
+    head: list[str] = []
+    block: list[bytes] = []
+    size, have = -1, 0
+    for line in lines:
+        if size < 0:
+            if line:
+                head.append(line.decode())
+                continue
+            if not head or not head[0].startswith("WARC/"):
+                raise ValueError("no record where one should begin")
+            headers = {name.lower(): value.strip() for name, _, value in (x.partition(":") for x in head[1:])}
+            size = int(headers["content-length"])
+            continue
+        block += (line, b"\r\n")
+        have += len(line) + 2
+        if have >= size + 4:
+            data = b"".join(block)
+            if data[size:] != b"\r\n\r\n":
+                raise ValueError("a record is longer than its header says")
+            yield headers, data[:size]
+            head, block, size, have = [], [], -1, 0
+    if head or size >= 0:
+        raise ValueError("a record is cut off")
 
 
 def originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -98,30 +110,35 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of archives: page_id, url, record_type, payload_bytes and payload_digest (of the full payload), refers_to, payload (null for a revisit).
 
-    A response's digest and length are those of the payload read, which must agree with its header.
+    A response's digest and length are those of the payload read, which must agree with its header.  Archives are read as
+    lines (a gzip file by one task, its lines in order), so a task holds a record and never a file.
     """
 
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = re.compile(r"<urn:page:(-?\d+|none)>")
         of = lambda told: None if told is None or (m := number.fullmatch(told))[1] == "none" else int(m[1])
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for headers, block in records(zlib.decompress(content.as_py(), 31)):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    revisit = headers["warc-type"] == "revisit"
-                    if not revisit and (payload_digest(payload), len(payload)) != (digest, size):
-                        raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its header says")
-                    rows.append((of(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], size, digest, of(headers.get("warc-refers-to")), None if revisit else payload))
-                if not rows:
-                    continue
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        rows, held = [], 0
+        for headers, block in records(line for batch in batches for line in batch.column(0).cast(pa.binary()).to_pylist()):
+            http, _, payload = block.partition(b"\r\n\r\n")
+            digest = headers["warc-payload-digest"].removeprefix("sha1:")
+            size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+            revisit = headers["warc-type"] == "revisit"
+            if not revisit and (payload_digest(payload), len(payload)) != (digest, size):
+                raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its header says")
+            rows.append((of(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], size, digest, of(headers.get("warc-refers-to")), None if revisit else payload))
+            held += len(block) + 512
+            if held > BATCH_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    lines = bounded(spark).read.option("pathGlobFilter", "*.txt.gz").option("lineSep", "\r\n").text(path)
+    return lines.select("value").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -116,7 +116,7 @@ def test_automaton_of_few_merges_agrees_with_merging():
 
 
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/x y", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\nx"), (6, "u", "ünïcode 😀\n"), (6, "u", "ünïcode 😀\n"), (None, "u", "<p>one</p>"), (None, "u", "alone")] + [(k, "v", "hot") for k in range(100, 400)]
+    rows = [(1, "http://a/x y", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\nx"), (6, "u", "ünïcode 😀\n"), (6, "u", "ünïcode 😀\n"), (None, "u", "<p>one</p>"), (None, "u", "alone"), (7, "u", "\r" * 70_001 + "\r\n\r\r\n" * 30_000), (8, "u", "\n\r" * 40_000), (9, "u", "é" * (3 << 20)), (10, "u", "a\r")] + [(k, "v", "hot") for k in range(100, 400)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = warc.round_trip(pages).collect()
     best = collections.defaultdict(lambda: None)
@@ -136,6 +136,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.payload_digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     large = warc.round_trip(pages, least_bytes=1000).collect()
     assert {r.record_type for r in large} == {"response"}
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records([b"WARC/1.1", b"Content-Length: 9", b"", b"short"]))
+    with pytest.raises(ValueError, match="longer"):
+        list(warc.records([b"WARC/1.1", b"Content-Length: 1", b"", b"long", b""]))
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.records([b"", b"x"]))
 
 
 # 3
