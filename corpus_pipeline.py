@@ -21,12 +21,20 @@ LEAST_SURE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known: not `und`, and sure enough."""
+    """Keeps documents whose language is known: not `und`, and sure enough.
+
+    A null text, an empty one and one without letters go; repeated rows and rows without an id are judged by their texts
+    like all others.  Nothing learned (an empty table, no languages) keeps nothing.
+    """
     return language.known(docs, language.train(docs), LEAST_SURE)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that aren't predicted to be toxic."""
+    """Keeps documents that aren't predicted to be toxic.
+
+    A null or empty text has the score of no features; repeated rows have one score, and rows without an id, which have
+    no labels, are judged like all others.  Without labels of both kinds nothing is predicted beyond the share of toxic ones.
+    """
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -50,7 +58,10 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens.
+
+    A null or empty text is a piece of its end token alone; repeated rows and rows without an id have pieces of their own.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
