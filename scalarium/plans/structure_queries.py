@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scalarium.functions import characters, identity, strings
-from scalarium.operators import assembly, diffs, evidence, packaging, profiles, reveal
+from scalarium.operators import assembly, detectors, diffs, evidence, packaging, profiles, reveal, validation
 from scalarium.operators import findings as found_in
 from scalarium.plans import corpus, planted, reports
 from scalarium.plans.queries import _EMOJI_SQL, _FINDINGS_SQL, _KINDS_SQL, ORACLE_SQL, QUERIES, joined, query
@@ -396,6 +396,31 @@ def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.compared(texts)
 
 
+@query(
+    f"with {_KINDS_SQL}, first as (select doc_id, min(n) as n from (select doc_id, cp, count(*) as n from hits group by doc_id, cp) group by doc_id) "
+    "select doc_id as source_id, 'finding.coordinates' as problem from first where doc_id % 11 = 0 union all select doc_id, 'finding.repeated' from first where doc_id % 13 = 0 union all select doc_id, 'finding.severity' from first where doc_id % 7 = 3"
+)
+def report_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks of findings say of some whose places were moved, references repeated or severities misspelt."""
+    texts = planted.texts(spark, sf_dir)
+    found = found_in.ordered_ranks(detectors.unicode_kinds(texts))
+    at = lambda n: F.pmod("doc_id", F.lit(n))
+    moved = F.when(at(11) == 0, F.transform("byte_offsets", lambda b: b + 1)).otherwise(F.col("byte_offsets"))
+    odd = F.when(at(7) == 3, F.lower("severity")).otherwise(F.col("severity"))
+    broken = found.withColumns({"byte_offsets": moved, "severity": odd}).withColumn("copies", F.explode(F.when(at(13) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copies")
+    return validation.finding_problems(broken, texts).select("source_id", "problem").distinct()
+
+
+@query(
+    f"with {planted.SCALARS}, places as (select doc_id, cast(coalesce(sum(strlen(ch)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as b from scalars union all select doc_id, cast(strlen(text) as bigint) from texts), "
+    "told as (select doc_id, sum(length(cast(b as varchar))) + count(*) - 1 as n, count(*) as numbers from places group by doc_id) "
+    "select t.doc_id, cast(strlen(text) + n as bigint) as least_bytes, cast(numbers as bigint) as least_numbers, strlen(text) + n <= 20000 and numbers <= 3000 as fits from told t join texts using (doc_id)"
+)
+def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, numbers = validation.least_report(F.col("text"))
+    return planted.texts(spark, sf_dir).select("doc_id", size.alias("least_bytes"), numbers.alias("least_numbers"), validation.fits_report(F.col("text"), 20_000, 3_000).alias("fits"))
+
+
 @query("select o_custkey % 50 as fold_group, cast(count(*) as bigint) as n from orders group by o_custkey % 50 having count(*) > 1")
 def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Dir/É").otherwise("dir/É"), (F.col("o_custkey") % 50).cast("string"))

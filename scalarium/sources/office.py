@@ -75,7 +75,7 @@ def word_scopes(data: bytes) -> list[tuple]:
         revisions = tuple(e[1] for e in tree.above(element) if e[3] == space and e[4] in REVISIONS)
         foreign = tuple(e[1] for e in tree.above(element) if e[3] != space)
         run = next((e[1] for e in tree.above(element) if e[3] == space and e[4] == "r"), None)
-        hidden = run is not None and _toggle(tree, run, space, "vanish")
+        hidden = run is not None and "on" in (toggle(tree, run, space, "vanish"), toggle(tree, run, space, "webHidden"))
         key = (paragraph, ROLES[holder[4]], revisions, foreign)
         if last == key:
             scopes[-1][3] += value
@@ -86,11 +86,28 @@ def word_scopes(data: bytes) -> list[tuple]:
     return [tuple(s) for s in scopes]
 
 
-def _toggle(tree: _Tree, run: int, space: str, name: str) -> bool:
-    """Whether a run's own properties turn something on."""
+def toggle(tree: _Tree, run: int, space: str, name: str) -> str:
+    """What a run's own properties say of a switch: on, off, unspecified, or unknown where they say it twice or oddly."""
     own = [e for e in tree.elements if e[2] == run and e[3] == space and e[4] == "rPr"]
-    found = [e for p in own for e in tree.elements if e[2] == p[1] and e[3] == space and e[4] == name]
-    return any(e[5].get(f"{{{space}}}val", "true") not in ("0", "false", "off") for e in found)
+    if len(own) != 1:
+        return "unknown" if own else "unspecified"
+    found = [e for e in tree.elements if e[2] == own[0][1] and e[3] == space and e[4] == name]
+    if len(found) != 1:
+        return "unknown" if found else "unspecified"
+    one = found[0]
+    filled = any(t[2] == one[1] if t[0] == "element" else t[1] == one[1] and t[6].strip(" \t\r\n") for t in tree.tokens)
+    value = f"{{{space}}}val"
+    if filled or any(k != value for k in one[5]):
+        return "unknown"
+    said = one[5].get(value, "true")
+    told = {"true": "on", "1": "on", "false": "off", "0": "off"} | ({"on": "on", "off": "off"} if WORD[space] == "transitional" else {})
+    return told.get(said, "unknown")
+
+
+def non_negative(value: str) -> int | None:
+    """A count as XML writes it; None if it isn't one or is beyond 64 bits."""
+    plain = re.fullmatch(r"[ \t\r\n]*\+?([0-9]+)[ \t\r\n]*", value)
+    return int(plain[1]) if plain and int(plain[1]) < 1 << 64 else None
 
 
 def odt_scopes(data: bytes) -> list[tuple]:
@@ -105,11 +122,11 @@ def odt_scopes(data: bytes) -> list[tuple]:
         paragraph = next((e[1] for e in tree.above(element) if e[3] == ODF_TEXT and e[4] in ("p", "h")), None)
         if kind == "element":
             if ns == ODF_TEXT and name in ("s", "tab", "line-break"):
-                count = attributes.get(f"{{{ODF_TEXT}}}c", "1") if name == "s" else "1"
-                if not re.fullmatch(r"\s*\+?\d{1,9}\s*", count) or paragraph is None:
+                count = non_negative(attributes.get(f"{{{ODF_TEXT}}}c", "1")) if name == "s" else 1
+                if count is None or paragraph is None:
                     last = None
                     continue
-                value = {"s": " ", "tab": "\t", "line-break": "\n"}[name] * int(count) if int(count) <= left else None
+                value = {"s": " ", "tab": "\t", "line-break": "\n"}[name] * count if count <= left else None
                 if value is None:
                     raise PackageError("odt.resource_limit")
                 left -= len(value)
