@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarium.llm.tables import stored
+from scalarium.llm.tables import discard, stored
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -19,7 +19,7 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
     """The least vertex of each vertex's component: id, component, for vertices other than that least one.
 
     links is a stored table with columns a and b, whole numbers; self links and repeats do no harm and rows with nulls
-    are left out.  Each round is written to the shared folder.  Rounds are about the logarithm of the number of
+    are left out.  Each round is written to the shared folder, and the one before removed.  Rounds are about the logarithm of the number of
     vertices, and a star needs one; all rows of a busy vertex meet only in counts and minima, and in joins that can
     be split.
     """
@@ -32,7 +32,10 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: u and its smaller neighbours are tied to the least of them
         tied = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = stored(tied.filter("u <> v").distinct(), "links")
+        before, edges = edges, stored(tied.filter("u <> v").distinct(), "links")
+        discard(before)
         if _stars(edges):
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out.stored_at = edges.stored_at
+            return out
     raise RuntimeError("components did not settle")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scalarium.llm.components import components
-from scalarium.llm.tables import stored
+from scalarium.llm.tables import discard, stored
 from scalarium.llm.text import U64, mix64, raw_text, slices, span_hashes, window_hashes, window_starts, word_bounds
 
 SHINGLE_WORDS, SIMILAR = 5, 0.8
@@ -327,10 +327,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     for most in (4, None):
         rest = stored(_unsettled(shared, linked), "unsettled")
         if rest.isEmpty():
+            discard(rest)
             break
         more = verified(_alike(rest, firsts, most), texts, similar) if most else _last_links(rest, firsts, texts, similar)
-        links = stored(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
+        before, links = links, stored(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
+        discard(before, rest, linked)
         linked = components(links)
+    discard(shared, texts)
     all_links, final = links, linked
     degree = all_links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     classes = firsts.select("digest", "first").join(final.withColumnRenamed("id", "first"), "first", "left").join(degree, "first", "left")

@@ -43,4 +43,14 @@ def stored(df: DataFrame, label: str, compression: str = "zstd", level: int = 3)
     spark = bounded(df.sparkSession)
     path = fresh_path(spark, label)
     df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored() made and that nothing is read from any more."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
