@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scalarium.functions import identity
 from scalarium.operators import detectors
 from scalarium.operators import findings as found_in
+from scalarium.sources.tables import checkpointed
 
 STATES = ("no_reported_findings", "requires_review", "unsupported", "failed", "skipped", "canceled")
 OUTPUT_BYTES = 128 << 20
@@ -59,7 +60,7 @@ def within_budget(lines: DataFrame, keys: list[str], size: Column, budget: int =
     Lines are dealt by ranges of the keys; the running sum is taken within a range and added to what the ranges before
     hold, so no task gets all rows.  Where ranges end depends on a sample, so the dealt rows are checkpointed.
     """
-    rows = lines.withColumn("_size", size.cast("long")).repartitionByRange(*keys).withColumn("_block", F.spark_partition_id()).checkpoint()
+    rows = checkpointed(lines.withColumn("_size", size.cast("long")).repartitionByRange(*keys).withColumn("_block", F.spark_partition_id()))
     blocks = rows.groupBy("_block").agg(F.sum("_size").alias("_sum"))  # a row for each partition
     before = blocks.withColumn("_before", F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).select("_block", F.coalesce("_before", F.lit(0)).alias("_before"))
     within = F.sum("_size").over(Window.partitionBy("_block").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))

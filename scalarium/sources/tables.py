@@ -1,7 +1,9 @@
-"""Reading tables so that all cores have work."""
+"""Reading tables so that all cores have work, and cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +21,11 @@ def dealt(rows: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (empty for null) of the table of documents."""
     return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows, written to the folder that spark.checkpoint.dir names; to a temporary one only where that is unset, as in tests."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scalarium-"))
+    return rows.checkpoint()
