@@ -340,7 +340,7 @@ def test_rules_of_one_pattern(spark):
     assert sorted((r.rule_id, r.observation_id) for r in profiles.rule_matches(rules, facts, obs, has).collect()) == [(1, 1), (2, 1), (3, 1), (4, 2)]
     none = spark.createDataFrame([], "signal_id int, artifact_id int, mapping_complete boolean"), spark.createDataFrame([], "signal_id int, observation_id int")
     got = {r.observation_id: (r.assessment, r.reason, r.omit_default) for r in profiles.assessments("main", rules, facts, obs, has, *none).collect()}
-    assert got == {1: ("noteworthy", "rule", False), 2: ("expected", "rule", True), 3: ("unknown", "no_rule", False)}
+    assert got == {1: ("noteworthy", "rules_matched", False), 2: ("expected", "rules_matched", True), 3: ("unknown", "no_matching_rule", False)}
 
 
 def test_signal_effects_against_pairs(spark):
