@@ -39,11 +39,14 @@ def outside(spans: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def merged_regions(regions: DataFrame, key: str = "source_id") -> DataFrame:
-    """Regions of each source in order, those that touch or overlap merged."""
-    order = Window.partitionBy(key).orderBy("start", "end")
+    """Regions of each source in order, those that touch or overlap merged.
+
+    Equal regions get one number, whichever of them comes first: the sum takes all of them in.  Nulls come last.
+    """
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    new = (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
-    return regions.withColumn("k", F.sum(new).over(order)).groupBy(key, "k").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end")).drop("k")
+    new = F.when(F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1)), 1).otherwise(0)
+    return regions.withColumn("k", F.sum(new).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(key, "k").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end")).drop("k")
 
 
 def coverage_gaps(requested: DataFrame, covered: DataFrame, key: str = "source_id") -> DataFrame:

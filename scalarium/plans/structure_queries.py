@@ -147,7 +147,8 @@ def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     begin = F.col("l_linenumber") * 40
     at = begin + F.col("l_suppkey") % 20
     both = [(begin, begin + F.col("l_quantity")), (at, at + 12)]
-    return tuple(items.select(F.col("l_orderkey").alias("source_id"), a.cast("long").alias("start"), b.cast("long").alias("end")) for a, b in both)
+    # SQL rounds where it casts, half to even
+    return tuple(items.select(F.col("l_orderkey").alias("source_id"), a.cast("long").alias("start"), F.rint(b).cast("long").alias("end")) for a, b in both)
 
 
 _MERGED_SQL = _REGIONS_SQL + ", marked as (select *, case when start > coalesce(max(\"end\") over (partition by source_id order by start, \"end\" rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as new from regions), numbered as (select *, sum(new) over (partition by source_id order by start, \"end\" rows unbounded preceding) as k from marked), merged as (select source_id, min(start) as start, max(\"end\") as \"end\" from numbered group by source_id, k)"

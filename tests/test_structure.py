@@ -288,6 +288,22 @@ def test_reports(spark):
     assert identity.canonical(got[2][3]) == identity.canonical(json.dumps(got[2][1]))
 
 
+#: Nulls, fractions, negative numbers and repeated rows as line items.
+ODD_ITEMS = [(1, 1, 2, 2.5), (1, 1, 2, None), (1, 2, 3, None), (1, None, 4, 9.0), (2, 1, 5, 43.5), (2, 2, 0, 3.0), (2, 2, 0, 3.0), (2, 2, 0, 3.0), (3, -2, 4, 9.0), (None, 1, 0, 20.0), (4, None, 1, None), (5, 1, 6, -70.0), (5, -1, 0, 30.5)]
+
+
+def _of_odd_items(spark, path, name):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(ODD_ITEMS, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+    return sorted((tuple(r) for r in entry.queries()[name](spark, str(path)).collect()), key=str)
+
+
+def test_region_merge_of_odd_items(spark, tmp_path):
+    """The rows that the SQL gives on them."""
+    assert _of_odd_items(spark, tmp_path, "region_merge") == sorted([(1, 40, 42), (1, 80, None), (2, 40, 84), (3, -80, -71), (4, None, None), (5, -40, -10), (5, 40, -30), (None, 40, 60)], key=str)
+
+
 def test_selection_digest_covers_whole_texts(spark, tmp_path):
     """A change at a text's end shows, also behind the first span; null and empty texts keep their rows."""
     import __spark_entry__ as entry
