@@ -28,14 +28,16 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
 def outside(spans: DataFrame, regions: DataFrame) -> DataFrame:
     """Spans (source_id, start, end) that no region of the source contains.
 
-    Regions that touch are merged first, so a span is contained by the last one that begins at or before it: that is
-    found by sorting both together, not by comparing all pairs.
+    Regions that touch are merged first, so a span is contained if one that begins at or before it reaches its end: that
+    is found by sorting both together, not by comparing all pairs.  Nothing contains a span with a null, and a region
+    with one contains nothing.
     """
-    merged = merged_regions(regions)
+    merged = merged_regions(regions).filter("source_id is not null and start is not null")
     both = merged.select("source_id", "start", "end", F.lit(0).alias("is_span"), F.lit(None).cast("long").alias("span_end")).unionByName(spans.select("source_id", "start", F.lit(None).cast("long").alias("end"), F.lit(1).alias("is_span"), F.col("end").cast("long").alias("span_end")))
     order = Window.partitionBy("source_id").orderBy("start", "is_span").rowsBetween(Window.unboundedPreceding, 0)
-    reach = both.withColumn("reach", F.last("end", ignorenulls=True).over(order))
-    return reach.filter((F.col("is_span") == 1) & (F.coalesce("reach", F.lit(-1)) < F.col("span_end"))).select("source_id", "start", F.col("span_end").alias("end"))
+    reach = both.withColumn("reach", F.max("end").over(order))
+    inside = F.col("source_id").isNotNull() & (F.col("reach") >= F.col("span_end"))
+    return reach.filter((F.col("is_span") == 1) & ~F.coalesce(inside, F.lit(False))).select("source_id", "start", F.col("span_end").alias("end"))
 
 
 def merged_regions(regions: DataFrame, key: str = "source_id") -> DataFrame:

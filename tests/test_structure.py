@@ -304,6 +304,12 @@ def test_region_merge_of_odd_items(spark, tmp_path):
     assert _of_odd_items(spark, tmp_path, "region_merge") == sorted([(1, 40, 42), (1, 80, None), (2, 40, 84), (3, -80, -71), (4, None, None), (5, -40, -10), (5, 40, -30), (None, 40, 60)], key=str)
 
 
+def test_scope_containment_of_odd_items(spark, tmp_path):
+    """The rows that the SQL gives on them: nothing contains a span with a null."""
+    want = [(1, 42, 54), (1, 42, 54), (1, 83, 95), (1, None, None), (2, 80, 92), (2, 80, 92), (2, 80, 92), (3, -76, -64), (4, None, None), (5, 46, 58), (None, 40, 52)]
+    assert _of_odd_items(spark, tmp_path, "scope_containment") == sorted(want, key=str)
+
+
 def test_selection_digest_covers_whole_texts(spark, tmp_path):
     """A change at a text's end shows, also behind the first span; null and empty texts keep their rows."""
     import __spark_entry__ as entry
