@@ -1,9 +1,11 @@
 """Decoding, packages, identity, reveal, evidence, profiles, corpus and stream."""
 
 import io
+import itertools
 import json
 import os
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -365,6 +367,28 @@ def test_rules_of_one_pattern(spark):
     assert got == {1: ("noteworthy", "rules_matched", False), 2: ("expected", "rules_matched", True), 3: ("unknown", "no_matching_rule", False)}
 
 
+def test_classes_of_observations_meet_patterns(spark, monkeypatch):
+    """Observations of equal facts meet patterns once, whatever their number; null ids, repeated rows and slices lose nothing."""
+    size, facts = 3000, 12
+    triples = list(itertools.combinations(range(facts), 3))
+    rules = spark.createDataFrame([(k, "k", "expected", None) for k in range(len(triples))], "rule_id int, kind string, assessment string, queue string")
+    rule_facts = spark.createDataFrame([(k, f) for k, three in enumerate(triples) for f in three], "rule_id int, fact int")
+    observations = spark.range(size).select(F.col("id").alias("observation_id"), F.lit("k").alias("kind"))
+    has = observations.select("observation_id", F.explode(F.array(*map(F.lit, range(facts)))).alias("fact")).filter("observation_id % 1000 > 0 or fact <> 3")
+
+    got = sorted((r.rule_id, r.observation_id) for r in profiles.rule_matches(rules, rule_facts, observations, has).collect())
+    assert got == [(k, o) for k, three in enumerate(triples) for o in range(size) if o % 1000 > 0 or 3 not in three]
+    own, classes, fits = profiles.class_matches(profiles.patterned(rules, rule_facts), observations, has)
+    assert sorted(r.n for r in classes.collect()) == [3, size - 3] and own.count() == size
+    assert fits.count() == len(triples) + sum(3 not in three for three in triples)
+    odd = spark.createDataFrame([(None, "k", "expected", None), (7, "k", "expected", None), (7, "k", "expected", None)], rules.schema)
+    monkeypatch.setattr(profiles, "SLICE", 100)
+    monkeypatch.setattr(profiles, "CHUNK", 10)
+    seen = observations.unionByName(spark.createDataFrame([(None, "k"), (5, None)], "observation_id long, kind string"))
+    rows = Counter((r.rule_id, r.observation_id) for r in profiles.rule_matches(odd, rule_facts.filter("rule_id < 0"), seen, has).collect())
+    assert rows == {(k, o): 1 + (k == 7) for k in (None, 7) for o in (None, *range(size))}
+
+
 def test_signal_effects_against_pairs(spark):
     import random
 
