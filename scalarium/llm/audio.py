@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarium.llm.tables import stored
+from scalarium.llm.tables import discard, stored
 from scalarium.llm.text import raw_text, slices
 
 RATE, BLOCK, PAD = 8000, 576, 255
 #: How hard stored media are compressed: samples take four to eight times their payload otherwise.
 LEVEL = 9
+#: Parts that a round trip is made in: media of one part are stored at a time.
+PARTS = 4
 MULAW, ALAW, ADPCM = "mulaw", "alaw", "adpcm"
 #: Format tags of the WAV container, and the step sizes and index changes of IMA ADPCM.
 TAGS = {ALAW: 6, MULAW: 7, ADPCM: 17}
@@ -182,6 +184,16 @@ def describe(made: DataFrame) -> DataFrame:
     return made.select(*told, "codec", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """The texts stored as media in a table of the shared folder, read back, stored again as samples and described from these; one row per row."""
-    return describe(stored(pcm(stored(store(docs), "media", level=LEVEL)), "pcm", level=LEVEL))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts stored as media in tables of the shared folder, read back, stored again as samples and described from these; one row per row.
+
+    Rows are dealt in parts by their ids.  A part's media are removed when its samples are stored, as nothing reads them
+    any more; the samples of all parts stay, in one table.
+    """
+    made = None
+    for k in range(PARTS):
+        part = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(PARTS)) == k)
+        media = stored(store(part, id_col, text_col), "media", level=LEVEL)
+        made = stored(pcm(media), "pcm", level=LEVEL, onto=made)
+        discard(media)
+    return describe(made)

@@ -38,11 +38,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, compression: str = "zstd", level: int = 3) -> DataFrame:
-    """df written as a table in the shared folder and read from there: its lineage is cut, and lost executors lose nothing."""
+def stored(df: DataFrame, label: str, compression: str = "zstd", level: int = 3, onto: DataFrame | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read from there: its lineage is cut, and lost executors lose nothing.
+
+    With onto, a table that stored() made, df's rows are added to that; what is returned has the rows of both.
+    """
     spark = bounded(df.sparkSession)
-    path = fresh_path(spark, label)
-    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", level).parquet(path)
+    path = onto.stored_at if onto is not None else fresh_path(spark, label)
+    df.write.mode("append").option("compression", compression).option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

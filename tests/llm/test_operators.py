@@ -219,6 +219,24 @@ def test_resampled_audio_is_stored(spark, docs, tmp_path):
     assert all(audio.wav_data(r.pcm)[:3] == (1, 16000, 2) for r in kept)
 
 
+def test_media_of_one_part_are_held_at_a_time(spark, docs, monkeypatch):
+    """Media go once their samples are stored, and no row is lost or repeated between the parts."""
+    held, real = [], audio.stored
+    media = lambda: set(glob.glob(f"{tables.shared_dir(spark)}/media-*"))
+    before = media()
+
+    def stored(*args, **named):
+        made = real(*args, **named)
+        held.append(len(media() - before))
+        return made
+
+    monkeypatch.setattr(audio, "stored", stored)
+    rows = audio.round_trip(docs).collect()
+    assert max(held) == 1 and media() == before
+    whole = audio.describe(audio.pcm(audio.store(docs))).collect()
+    assert collections.Counter(map(tuple, rows)) == collections.Counter(map(tuple, whole)) and len(rows) == len(ODD)
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(3)
     histogram = np.bincount(np.minimum(1 + rng.gamma(1.5, 120, 20_000).astype(int), 512), minlength=513)
