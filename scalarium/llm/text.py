@@ -83,6 +83,53 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = j
 
 
+class Numbered:
+    """Different 64-bit keys, numbered from 0 as they come, in a table with open addressing."""
+
+    def __init__(self, room: int = 1 << 12):
+        self.n = 0
+        self._clear(2 * room)
+
+    def _clear(self, size: int) -> None:
+        self._number, self._key = np.full(size, -1, np.int32), np.zeros(size, U64)
+        self._shift = U64(65 - size.bit_length())
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _BASE) >> self._shift).astype(np.int64)
+
+    def _place(self, keys: np.ndarray, number: np.ndarray) -> None:
+        slot = self._slot(keys)
+        while len(number):
+            free = np.flatnonzero(self._number[slot] < 0)
+            self._number[slot[free]] = number[free]
+            mine = free[self._number[slot[free]] == number[free]]  # of those that meet in a free slot, one has it
+            self._key[slot[mine]] = keys[mine]
+            left = np.ones(len(number), bool)
+            left[mine] = False
+            keys, number, slot = keys[left], number[left], (slot[left] + 1) & (len(self._key) - 1)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Numbers keys that are all different and have no number yet."""
+        first, self.n = self.n, self.n + len(keys)
+        if 2 * self.n > len(self._key):
+            used = np.flatnonzero(self._number >= 0)
+            had, number = self._key[used], self._number[used]
+            self._clear(2 << self.n.bit_length())
+            self._place(had, number)
+        self._place(keys, np.arange(first, self.n, dtype=np.int32))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        slot = self._slot(keys)
+        found = self._number[slot]
+        which = np.flatnonzero((self._key[slot] != keys) & (found >= 0))
+        while len(which):
+            slot[which] = at = (slot[which] + 1) & (len(self._key) - 1)
+            found[which] = there = self._number[at]
+            which = which[(self._key[at] != keys[which]) & (there >= 0)]
+        return found
+
+
 def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of documents that lie in buf one after another, and how many each has.
 

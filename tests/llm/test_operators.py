@@ -112,6 +112,48 @@ def test_automaton_of_few_merges_agrees_with_merging():
             assert [machine.labels[i] for i in machine.encode(bytes(letters))] == parts
 
 
+def test_words_in_step_agree_with_words_alone():
+    """Small alphabets make words turn back, random bytes are no text, and 64 bytes fill the set of closed places."""
+    told = bpe.codec(PATH).automaton
+    merges = [(b"a", b"b"), (b"ab", b"a"), (b"b", b"b"), (b"a", b"a"), (b"aba", b"b"), (b"bb", b"a")]
+    labels = [bytes([b]) for b in b"ab"] + [x + y for x, y in merges]
+    few = bpe.Automaton({w: i for i, w in enumerate(labels)}, merges)
+    rng = random.Random(3)
+    long = [rng.choices(told.labels[:50_000], k=9) for _ in range(2000)]
+    some = [bytes(rng.choices(range(256), k=rng.randint(1, 64))) for _ in range(1000)] + [b"".join(x)[:64] for x in long] + [bytes([b]) * 64 for b in range(256)]
+    for machine, words in ((few, [bytes(rng.choices(b"ab", k=rng.randint(1, 64))) for _ in range(3000)]), (told, some), (told, [])):
+        sizes = np.array([len(w) for w in words], np.int64)
+        ids, counts = machine.encode_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes, 700)
+        alone = [machine.encode(w) for w in words]
+        assert counts.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
+    with pytest.raises(ValueError, match="alphabet"):
+        few.encode_spans(np.frombuffer(b"abc", np.uint8), np.array([0]), np.array([3]))
+
+
+def test_new_words_are_not_encoded_one_by_one(monkeypatch):
+    """Where most words of a text are new, as in large corpora, encoding each on its own took most of the time of op4_packing."""
+    rng = random.Random(9)
+    some = " ".join("".join(rng.choices("abdeghilmnorstuäéñ", k=rng.randint(1, 14))) for _ in range(5000))
+    coder, alone = bpe.codec(PATH), []
+    coder._forget()
+    monkeypatch.setattr(coder.automaton, "encode", lambda word: alone.append(word) or [])
+    buf = np.frombuffer(some.encode(), np.uint8)
+    ids, _ = coder.encode(buf, np.array([0, len(buf)]))
+    coder._forget()
+    assert not alone and ids.tolist() == Tokenizer.from_file(PATH).encode(some, add_special_tokens=False).ids
+
+
+def test_numbered_keys():
+    rng = np.random.default_rng(4)
+    told, known = text.Numbered(2), {}
+    for n in (0, 1, 3, 200, 5000):
+        keys = np.setdiff1d(np.concatenate([rng.integers(0, 1 << 63, n, np.uint64), np.arange(n, dtype=np.uint64)]), np.array(list(known), np.uint64))
+        told.add(keys)
+        known |= {k: len(known) + i for i, k in enumerate(keys.tolist())}
+        asked = np.concatenate([np.array(list(known), np.uint64), np.arange(2 * n, dtype=np.uint64)])
+        assert told.find(asked).tolist() == [known.get(k, -1) for k in asked.tolist()]
+
+
 # 2
 
 
