@@ -41,14 +41,15 @@ def outside(spans: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def merged_regions(regions: DataFrame, key: str = "source_id") -> DataFrame:
-    """Regions of each source in order, those that touch or overlap merged.
+    """Regions of each source in order, those that touch or overlap merged.  Nulls come last.
 
-    Equal regions get one number, whichever of them comes first: the sum takes all of them in.  Nulls come last.
+    Equal regions are numbered in one order: both windows read rows as one sort left them, so the first of them begins a
+    merged region and the others join it, and those that touch nothing, as their end is null or before their start, stay apart.
     """
     order = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     new = F.when(F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1)), 1).otherwise(0)
-    return regions.withColumn("k", F.sum(new).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(key, "k").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end")).drop("k")
+    return regions.withColumn("k", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(key, "k").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end")).drop("k")
 
 
 def coverage_gaps(requested: DataFrame, covered: DataFrame, key: str = "source_id") -> DataFrame:

@@ -306,6 +306,18 @@ def test_region_merge_of_odd_items(spark, tmp_path):
     assert _of_odd_items(spark, tmp_path, "region_merge") == sorted([(1, 40, 42), (1, 80, None), (2, 40, 84), (3, -80, -71), (4, None, None), (5, -40, -10), (5, 40, -30), (None, 40, 60)], key=str)
 
 
+def test_equal_regions_that_touch_nothing_stay_apart(spark, tmp_path):
+    """The rows that the SQL gives on repeated items without an end or with one before their start; both windows read one sort."""
+    import __spark_entry__ as entry
+
+    rows = [(1, 1, 0, None)] * 3 + [(2, 2, 0, -30.0)] * 2 + [(3, 1, 0, 5.0)] * 2 + [(4, 1, 0, 100.0)] + [(4, 3, 0, None)] * 2 + [(None, 1, 0, None)] * 2 + [(6, None, 0, 1.0)] * 2
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    merged = entry.queries()["region_merge"](spark, str(tmp_path))
+    want = [(1, 40, None)] * 3 + [(2, 80, 50)] * 2 + [(3, 40, 45), (4, 40, 140), (6, None, None)] + [(None, 40, None)] * 2
+    assert sorted((tuple(r) for r in merged.collect()), key=str) == sorted(want, key=str)
+    assert merged._jdf.queryExecution().sparkPlan().toString().count("Window [") == 2 and merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [") == 1
+
+
 def test_scope_containment_of_odd_items(spark, tmp_path):
     """The rows that the SQL gives on them: nothing contains a span with a null."""
     want = [(1, 42, 54), (1, 42, 54), (1, 83, 95), (1, None, None), (2, 80, 92), (2, 80, 92), (2, 80, 92), (3, -76, -64), (4, None, None), (5, 46, 58), (None, 40, 52)]
