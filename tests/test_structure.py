@@ -401,6 +401,21 @@ def test_classes_of_observations_meet_patterns(spark, monkeypatch):
     assert rows == {(k, o): 1 + (k == 7) for k in (None, 7) for o in (None, *range(size))}
 
 
+def test_rule_matches_repeat_within_pages(spark, tmp_path):
+    """Each rule with each observation that it fits, in an order in which Parquet takes under half a byte a row."""
+    import os
+
+    rules = spark.range(200).select(F.col("id").alias("rule_id"), F.lit("k").alias("kind"), F.lit("expected").alias("assessment"), F.lit(None).cast("string").alias("queue"))
+    observations = spark.range(6001).select(F.col("id").alias("observation_id"), F.lit("k").alias("kind"))
+    facts = rules.select("rule_id", F.lit(1).alias("fact"))
+    has = observations.select("observation_id", F.explode(F.array(F.lit(1), F.col("observation_id") % 40)).alias("fact"))
+    profiles.rule_matches(rules, facts, observations, has).select("rule_id", "observation_id").write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 200 * 6001 and out.filter("rule_id not between 0 and 199 or observation_id not between 0 and 6000").isEmpty()
+    size = sum(os.path.getsize(f"{tmp_path}/out/{f}") for f in os.listdir(f"{tmp_path}/out") if f.endswith(".parquet"))
+    assert size < 200 * 6001 / 2
+
+
 def test_signal_effects_against_pairs(spark):
     import random
 
